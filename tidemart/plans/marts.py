@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,21 +113,30 @@ def with_churn_label(features: DataFrame, horizon_days: int = LABEL_HORIZON_DAYS
     ).drop("churn_date")
 
 
+def snapshot_grid(dim_customer: DataFrame, as_of: dt.date, label_horizon_days: int) -> tuple[dt.date, dt.date]:
+    """First and last possible snapshot date, from one small job over the signup dates."""
+    first_signup = dim_customer.agg(F.min("signup_date")).first()[0] or as_of
+    return (
+        first_signup + dt.timedelta(days=FIRST_SNAPSHOT_OFFSET_DAYS),
+        as_of - dt.timedelta(days=label_horizon_days),
+    )
+
+
 def customer_features(
     dim_customer: DataFrame,
     fact_orders: DataFrame,
-    as_of: DateLike,
+    as_of: dt.date,
     label_horizon_days: int = LABEL_HORIZON_DAYS,
     interval_days: int = SNAPSHOT_INTERVAL_DAYS,
     window_days: int = FEATURE_WINDOW_DAYS,
 ) -> DataFrame:
     """Labelled features at every snapshot from first signup + 180 days to as_of - horizon."""
-    first_signup = dim_customer.agg(F.min("signup_date")).scalar()
+    start, stop = snapshot_grid(dim_customer, as_of, label_horizon_days)
     rolled = snapshot_rollup(
         dim_customer.select("customer_id", "region", "plan_type", "signup_date", "churn_date"),
         fact_orders,
-        start=F.date_add(first_signup, FIRST_SNAPSHOT_OFFSET_DAYS),
-        stop=F.date_sub(as_date(as_of), label_horizon_days),
+        start=start,
+        stop=stop,
         interval_days=interval_days,
         window_days=window_days,
     )
@@ -141,7 +152,7 @@ def latest_snapshot(features: DataFrame) -> DataFrame:
 def latest_customer_features(
     dim_customer: DataFrame,
     fact_orders: DataFrame,
-    as_of: DateLike,
+    as_of: dt.date,
     label_horizon_days: int = LABEL_HORIZON_DAYS,
     interval_days: int = SNAPSHOT_INTERVAL_DAYS,
 ) -> DataFrame:
@@ -149,13 +160,12 @@ def latest_customer_features(
 
     Which snapshot is the newest depends on the customers alone.
     """
-    first_signup = dim_customer.agg(F.min("signup_date")).scalar()
-    start = F.date_add(first_signup, FIRST_SNAPSHOT_OFFSET_DAYS)
-    stop = F.date_sub(as_date(as_of), label_horizon_days)
+    start, stop = snapshot_grid(dim_customer, as_of, label_horizon_days)
     first, last = snapshot_bounds(start, stop, interval_days, F.col("signup_date"), F.col("churn_date"))
-    spans = dim_customer.withColumns({"_first": first, "_last": last}).where(F.col("_first") <= F.col("_last"))
-    newest = spans.agg(F.date_add(F.max(start), F.max("_last") * interval_days)).scalar()
-    return with_churn_label(customer_features_at(dim_customer, fact_orders, newest), label_horizon_days)
+    spans = dim_customer.select(first.alias("lo"), last.alias("hi")).where(F.col("lo") <= F.col("hi"))
+    newest = spans.agg(F.max("hi")).first()[0] or 0
+    snapshot = start + dt.timedelta(days=newest * interval_days)
+    return with_churn_label(customer_features_at(dim_customer, fact_orders, snapshot), label_horizon_days)
 
 
 def resolved_labels(features: DataFrame, as_of: DateLike, horizon_days: int = LABEL_HORIZON_DAYS) -> DataFrame:

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 K1 = 1.2
 B = 0.75
 
+# Scores are rounded before ranking, so copies of a document tie however their sums were ordered.
+SCORE_DIGITS = 9
+
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -40,6 +43,10 @@ def term_weight(tf: Column, length: Column, mean_length: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
 
 
+def _occurrences(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda word: word == F.lit(term)))
+
+
 def _where(df: DataFrame, attributes: dict[str, str]) -> DataFrame:
     return reduce(lambda d, item: d.where(F.col(item[0]) == item[1]), attributes.items(), df)
 
@@ -55,7 +62,7 @@ def search(
     attributes = attributes or {}
     terms = query_terms(query)
     words = docs.select("doc_id", *attributes, tokens(text).alias("_words"))
-    counts = [F.size(F.filter("_words", lambda w, t=t: w == t)).alias(f"_tf{i}") for i, t in enumerate(terms)]
+    counts = [_occurrences("_words", term).alias(f"_tf{i}") for i, term in enumerate(terms)]
     counted = words.select("doc_id", *attributes, F.size("_words").alias("_len"), *counts)
     stats = counted.agg(
         F.struct(
@@ -73,7 +80,7 @@ def search(
     return (
         _where(counted, attributes)
         .where(found)
-        .select("doc_id", *attributes, reduce(lambda a, b: a + b, parts).alias("score"))
+        .select("doc_id", *attributes, F.round(reduce(lambda a, b: a + b, parts), SCORE_DIGITS).alias("score"))
         .orderBy(F.desc("score"), "doc_id")
         .limit(k)
     )
@@ -145,7 +152,7 @@ class SearchIndex:
         return (
             _where(hits, attributes)
             .groupBy("doc_id", *attributes)
-            .agg(F.sum(weight).alias("score"))
+            .agg(F.round(F.sum(weight), SCORE_DIGITS).alias("score"))
             .orderBy(F.desc("score"), "doc_id")
             .limit(k)
         )

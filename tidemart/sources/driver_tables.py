@@ -7,9 +7,10 @@ NULL constants and the joins that would fetch them are not planned at all.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemart.functions.scalars import lookup, money
@@ -37,7 +38,7 @@ class RawTables:
     products: DataFrame
     orders: DataFrame
     order_items: DataFrame
-    as_of: Column
+    as_of: dt.date
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -52,9 +53,13 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_SCHEMAS[table].fields])
 
 
-def as_of_date(spark: SparkSession, sf_dir: str) -> Column:
-    """Last order date as an uncorrelated scalar subquery."""
-    return read_table(spark, sf_dir, "orders").agg(F.max(F.to_date("o_orderdate"))).scalar()
+def as_of_date(spark: SparkSession, sf_dir: str) -> dt.date:
+    """Last order date, the run date of everything derived from these tables.
+
+    One small job over one column. As a literal the date reaches scans and constant folding; as a
+    subquery it would be planned again inside every plan that mentions it.
+    """
+    return read_table(spark, sf_dir, "orders").agg(F.max(F.to_date("o_orderdate"))).first()[0]
 
 
 def _customer_region(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +146,7 @@ def raw_products(spark: SparkSession, sf_dir: str, lookups: frozenset[str] = ALL
     )
 
 
-def raw_customers(spark: SparkSession, sf_dir: str, as_of: Column) -> DataFrame:
+def raw_customers(spark: SparkSession, sf_dir: str, as_of: dt.date) -> DataFrame:
     span = (
         read_table(spark, sf_dir, "orders")
         .groupBy(F.col("o_custkey").alias("c_custkey"))
@@ -156,7 +161,7 @@ def raw_customers(spark: SparkSession, sf_dir: str, as_of: Column) -> DataFrame:
         .withColumn(
             "churn_date",
             F.when(
-                F.col("last_date") < F.date_sub(as_of, CHURN_GAP_DAYS),
+                F.col("last_date") < F.date_sub(F.lit(as_of), CHURN_GAP_DAYS),
                 F.date_add("last_date", CHURN_GAP_DAYS),
             ),
         )
