@@ -24,7 +24,6 @@ QUERIES = {}
 
 LANDING_DATE = dt.date(2001, 8, 1)
 NONE: frozenset[str] = frozenset()
-REGION = frozenset({"region"})
 ITEMS = frozenset({"item_count"})
 
 
@@ -175,25 +174,25 @@ def a16_residual_std(w):
 # --- churn
 
 
-@query(REGION)
+@query()
 def m1_scale(w):
     """Scaled numbers of the newest snapshot: mean and spread per feature."""
     return segments.scaled_moments(segments.train(w.latest_features, restarts=1), w.latest_features)
 
 
-@query(REGION)
+@query()
 def m2_one_hot(w):
     """One-hot categories; plans unseen in fitting become all zeros."""
     seen = w.latest_features.where(F.col("plan_type") != "BUILDING")
     return churn.category_ones(seen, w.latest_features).groupBy("plan_type").agg(F.max("ones").alias("ones"))
 
 
-@query(REGION)
+@query()
 def m3_churn_fit(w):
     return churn.coefficients(churn.train(w.customer_features), w.latest_features)
 
 
-@query(REGION)
+@query()
 def m4_auc(w):
     """Hold-out AUC. Churn in the driver tables is derived from order gaps, so it proves no skill."""
     model = churn.train(w.customer_features)
@@ -204,27 +203,27 @@ def _scored(w) -> DataFrame:
     return churn.score(churn.train(w.customer_features), w.latest_features)
 
 
-@query(REGION)
+@query()
 def m5_churn_score(w):
     return _scored(w).select("customer_id", "snapshot_date", "churn_probability")
 
 
-@query(REGION)
+@query()
 def a17_high_risk_count(w):
     return _scored(w).agg(F.count_if(F.col("churn_probability") >= fn.RISK_TIERS["high"]).alias("high_risk"))
 
 
-@query(REGION)
+@query()
 def t2_top_risk_customers(w):
     return churn.top_risk(_scored(w), limit=50)
 
 
-@query(REGION)
+@query()
 def p12_min_risk_filter(w):
     return churn.top_risk(_scored(w), limit=churn.LIMIT_MAX, min_risk=0.3)
 
 
-@query(REGION)
+@query()
 def m12_model_persistence(w):
     """Save the fitted model, load it by path, score with the loaded one."""
     path = scratch_dir(w.fact_orders.sparkSession, "churn-model")
@@ -235,13 +234,13 @@ def m12_model_persistence(w):
 # --- segments
 
 
-@query(REGION)
+@query()
 def m6_kmeans(w):
     model = segments.train(w.latest_features)
     return segments.assign(model, w.latest_features).select("customer_id", "cluster_id")
 
 
-@query(REGION)
+@query()
 def m7_silhouette(w):
     """Silhouette on squared Euclidean distances of the scaled features."""
     model = segments.train(w.latest_features)
@@ -252,7 +251,7 @@ def m7_silhouette(w):
     )
 
 
-@query(REGION)
+@query()
 def m13_latest_snapshot_predict(w):
     """Cluster members as reported: id, cluster, and the three shown features."""
     model = segments.train(w.latest_features, restarts=2)
@@ -260,12 +259,12 @@ def m13_latest_snapshot_predict(w):
     return assigned.select("customer_id", "cluster_id", d("recency_days", 1), d("frequency_90d", 1), d("monetary_90d", 1))
 
 
-@query(REGION)
+@query()
 def a13_cluster_centers(w):
     return segments.centers(segments.assign(segments.train(w.latest_features), w.latest_features))
 
 
-@query(REGION)
+@query()
 def a14_cluster_summary(w):
     return segments.summary(segments.assign(segments.train(w.latest_features), w.latest_features))
 
@@ -325,7 +324,7 @@ def a18_detection_recall(w):
 # --- metrics, sentences, overview
 
 
-@query(REGION)
+@query()
 def m11_evaluation_metrics(w):
     """Metrics of the churn model and of every sales series as rows."""
     model = churn.train(w.customer_features)
@@ -338,13 +337,13 @@ def m14_forecast_insights(w):
     return overview.forecast_insights(forecast.fit(_sales(w)), "sales_forecast_model", forecast.SALES_HORIZON)
 
 
-@query(REGION)
+@query()
 def m14_churn_insight(w):
     model = churn.train(w.customer_features)
     return overview.churn_insight(churn.score(model, w.latest_features), model.auc)
 
 
-@query(REGION)
+@query()
 def m14_segment_insight(w):
     model = segments.train(w.latest_features, restarts=2)
     return overview.segment_insight(segments.summary(segments.assign(model, w.latest_features)), model.silhouette_sq)
@@ -355,7 +354,7 @@ def m14_anomaly_insight(w):
     return overview.anomaly_insight(anomaly.detect_isolation(w.order_features), anomaly.CONTAMINATION)
 
 
-@query(REGION)
+@query()
 def m15_overview_summaries(w):
     auc = churn.train(w.customer_features).auc
     silhouette = segments.train(w.latest_features, restarts=2).silhouette_sq

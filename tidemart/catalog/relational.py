@@ -21,7 +21,7 @@ from tidemart.sources.driver_tables import SEGMENT_MRR, conform, raw_orders, rea
 QUERIES = {}
 
 NONE: frozenset[str] = frozenset()
-REGION = frozenset({"region"})
+ORDER_REGION = frozenset({"order_region"})
 ITEMS = frozenset({"item_count"})
 LANDING_DATE = dt.date(2001, 8, 1)
 
@@ -184,7 +184,7 @@ def s12_partitioned_clustered_write(spark, sf_dir):
     )
 
 
-@query(REGION)
+@query()
 def s13_model_input_view(w):
     """View of resolved training rows, read by name."""
     spark = w.fact_orders.sparkSession
@@ -204,7 +204,7 @@ def s16_table_read(w):
     )
 
 
-@query(REGION)
+@query()
 def s17_mart_refresh(w):
     """Rows of every table of the refreshed layers below the feature marts."""
     tables = {f"staging.{t}": w.staged(t) for t in RAW_COLUMNS}
@@ -224,12 +224,12 @@ def s17_mart_refresh(w):
 # --- projections and filters
 
 
-@query(REGION)
+@query()
 def p1_column_projection(w):
     return w.dim_customer
 
 
-@query(REGION | ITEMS)
+@query(ORDER_REGION | ITEMS)
 def p2_drop_internal_columns(w):
     """An internal column on the input never reaches the declared table."""
     marked = w.raw.orders.withColumn("is_injected_anomaly", F.lit(True))
@@ -275,7 +275,7 @@ def p8_half_open_window_filter(w):
     return w.fact_orders.where(fn.in_trailing_window("order_date", w.as_of, 90)).select("order_id", "order_date")
 
 
-@query(REGION)
+@query()
 def p9_pit_eligibility(w):
     at = F.date_sub(F.lit(w.as_of), 180)
     return w.dim_customer.where(fn.eligible_at("signup_date", "churn_date", at)).select("customer_id", "signup_date", "churn_date")
@@ -286,7 +286,7 @@ def p10_recent_days_filter(w):
     return w.fact_orders.where(F.col("order_date") >= F.date_sub(F.lit(w.as_of), 30)).select("order_id", "order_date", d("order_amount"))
 
 
-@query(REGION)
+@query()
 def p11_latest_snapshot_filter(w):
     return w.latest_features.select(*feature_columns(), "churned_next_30d")
 
@@ -306,7 +306,7 @@ def p17_rename(w):
     return w.fact_orders.select("order_id", F.col("order_amount").cast("double").alias("total_amount"))
 
 
-@query(REGION)
+@query()
 def p18_resolved_label_filter(w):
     rows = marts.resolved_labels(w.customer_features, w.as_of, horizon_days=60)
     return rows.select("customer_id", "snapshot_date", "churned_next_30d")
@@ -336,12 +336,12 @@ def j3_left_agg_join(w):
     )
 
 
-@query(REGION)
+@query()
 def j4_left_join_then_conditional_agg(w):
     return w.customer_features.select("customer_id", "snapshot_date", big("frequency_90d"), d("monetary_90d"))
 
 
-@query(REGION)
+@query()
 def j5_eligible_snapshots(w):
     """Customer and snapshot pairs, expanded per customer from its own first to last index."""
     start, stop = marts.snapshot_grid(w.dim_customer, w.as_of, marts.LABEL_HORIZON_DAYS)
@@ -352,7 +352,7 @@ def j5_eligible_snapshots(w):
     )
 
 
-@query(REGION)
+@query()
 def j6_two_key_self_join(w):
     """Snapshot rows joined on both keys with the label rows of the same mart."""
     features = w.customer_features
@@ -388,13 +388,13 @@ def j10_map_lookup(w):
     return w.dim_customer.select("customer_id", fn.lookup(SEGMENT_MRR, "plan_type").alias("mrr"))
 
 
-@query(REGION)
+@query()
 def j11_as_of_last(w):
     probes = w.customer_features.select("customer_id", "snapshot_date")
     return pit.last_on_or_before(probes, w.fact_orders, "customer_id", "snapshot_date", "order_date", "last_order_date")
 
 
-@query(REGION)
+@query()
 def j12_set_disjoint_check(w):
     return quality.churned_in_features(w.customer_features, w.dim_customer).agg(F.count("*").alias("overlap"))
 
@@ -448,12 +448,12 @@ def a7_conditional_max(w):
     )
 
 
-@query(REGION)
+@query()
 def a8_global_min_max(w):
     return w.dim_customer.agg(F.min("signup_date").alias("first_signup"), F.max("signup_date").alias("last_signup"))
 
 
-@query(REGION | ITEMS)
+@query(ORDER_REGION | ITEMS)
 def a9_distinct_rows(w):
     doubled = w.raw.orders.unionByName(w.raw.orders)
     return staging.clean(doubled, "orders").select(*order_columns())
@@ -471,7 +471,7 @@ def a11_distinct_count(w):
     )
 
 
-@query(REGION)
+@query()
 def a12_overview_kpis(w):
     return overview.kpis(w.dim_customer, w.fact_orders)
 
@@ -483,7 +483,7 @@ def a19_median_quantile(w):
     return wide.select("status", d("prob"), d("quantile", 4))
 
 
-@query(REGION)
+@query()
 def a20_label_rate(w):
     return w.customer_features.agg(fn.rounded(F.avg(F.col("churned_next_30d").cast("int")), 6).alias("churn_rate"))
 
@@ -524,7 +524,7 @@ def w4_time_holdout_split(w):
     return series.with_holdout(_sales_series(w), 14).select("series_id", "ds", d("y"), "is_test")
 
 
-@query(REGION)
+@query()
 def w5_stratified_split(w):
     rows = w.customer_features.select("customer_id", "snapshot_date", "churned_next_30d")
     return stratified_split(rows, "churned_next_30d", ["customer_id", "snapshot_date"], 0.25, 42)
@@ -581,7 +581,7 @@ def u1_subscription_events(w):
     return w.fact_subscription_events.select("subscription_id", "customer_id", "event_date", "event_type", "plan", d("mrr"))
 
 
-@query(REGION)
+@query()
 def u2_snapshot_concat(w):
     """All snapshots in one plan: rows and churners per snapshot."""
     return w.customer_features.groupBy("snapshot_date").agg(
@@ -646,7 +646,7 @@ def f10_if_case(w):
     return w.fact_order_items.select("order_item_id", fn.risk_tier(p).alias("tier"))
 
 
-@query(REGION)
+@query()
 def f11_label_expr(w):
     at = F.date_sub(F.lit(w.as_of), 30)
     rows = w.dim_customer.where(fn.eligible_at("signup_date", "churn_date", at)).withColumn("snapshot_date", at)
@@ -706,7 +706,7 @@ def f18_string_ops(w):
     )
 
 
-@query(REGION)
+@query()
 def f19_row_to_object(w):
     """Rows as JSON objects, and a field read back with fallback keys."""
     obj = F.to_json(F.struct("customer_id", "plan_type"))
@@ -740,20 +740,20 @@ def f22_column_lowercase(w):
 # --- feature tables and series
 
 
-@query(REGION)
+@query()
 def ts1_customer_features(w):
     rows = marts.customer_features_at(w.dim_customer, w.fact_orders, w.as_of)
     return rows.select(*feature_columns())
 
 
-@query(REGION)
+@query()
 def ts2_customer_features_with_label(w):
     at = F.date_sub(F.lit(w.as_of), 90)
     rows = marts.with_churn_label(marts.customer_features_at(w.dim_customer, w.fact_orders, at), 60)
     return rows.select(*feature_columns(), "churned_next_30d")
 
 
-@query(REGION)
+@query()
 def ts3_customer_training_dataset(w):
     return w.customer_features.select(*feature_columns(), "churned_next_30d")
 
@@ -766,7 +766,7 @@ def ts4_order_transaction_features(w):
 @query(ITEMS)
 def ts4_order_features_recent_with_itemless(w):
     """Orders of the last 90 days, also those without items."""
-    rows = marts.order_transaction_features(w.fact_orders, w.fact_order_items, 90, w.as_of, how="left")
+    rows = marts.order_transaction_features(w.fact_orders, w.staged("order_items"), 90, w.as_of, how="left")
     return rows.select(*order_feature_columns())
 
 
@@ -799,7 +799,7 @@ def q1_monthly_revenue_by_channel(w):
     return semantic.monthly_revenue_by_channel(w.daily_sales).select("month", "channel", d("revenue"))
 
 
-@query(REGION)
+@query()
 def q2_high_risk_count_by_region(w):
     return semantic.high_risk_by_region(w.latest_features)
 
@@ -810,7 +810,7 @@ def q3_top_products_by_demand(w):
     return semantic.top_products_by_demand(w.daily_product_demand, w.as_of, days=365)
 
 
-@query(REGION)
+@query()
 def q4_metric_query(w):
     """Asked by synonyms: spend and frequency by plan and year."""
     return semantic.metric_query(
@@ -828,12 +828,12 @@ def q5_total_revenue(w):
     return semantic.total_revenue(w.daily_sales).select(d("total_revenue"))
 
 
-@query(REGION)
+@query()
 def q6_churn_rate(w):
     return semantic.churn_rate(w.customer_features).select(d("churn_rate", 6))
 
 
-@query(REGION)
+@query()
 def q7_high_risk_customers(w):
     return semantic.high_risk_customers(w.latest_features)
 
@@ -843,7 +843,7 @@ def q9_top_product_demand_30d(w):
     return semantic.demand_last_days(w.daily_product_demand, 30)
 
 
-@query(REGION)
+@query()
 def q12_qc_row_counts(w):
     loaded = {t: w.staged(t) for t in RAW_COLUMNS}
     return quality.row_counts(loaded, {t: w.raw.table(t) for t in RAW_COLUMNS})
@@ -870,12 +870,12 @@ def q14_qc_referential_integrity(w):
     return quality.referential_integrity(tables)
 
 
-@query(REGION)
+@query()
 def q15_qc_business_rules(w):
     return quality.mart_rules(w.daily_sales, w.daily_product_demand, w.customer_features, marts.TOP_PRODUCTS)
 
 
-@query(REGION | ITEMS)
+@query(ORDER_REGION | ITEMS)
 def st2_repeated_full_extracts(w):
     """Two full extracts of one table, one of them with changed rows: exact repeats fold, versions stay."""
     changed = w.raw.orders.withColumn(

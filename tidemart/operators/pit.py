@@ -70,7 +70,10 @@ def snapshot_bounds(
     churned at it. The range is empty when last < first.
     """
     origin = as_date(start)
-    first = F.greatest(F.lit(0), F.ceil(F.datediff(signup, origin) / F.lit(interval_days)))
+    # greatest() skips NULLs; a customer without signup must not start at the first snapshot.
+    first = F.when(
+        signup.isNotNull(), F.greatest(F.lit(0), F.ceil(F.datediff(signup, origin) / F.lit(interval_days)))
+    )
     grid_end = F.floor(F.datediff(as_date(stop), origin) / F.lit(interval_days))
     churn_end = F.floor((F.datediff(churn, origin) - 1) / F.lit(interval_days))
     return first.cast("int"), F.least(grid_end, churn_end).cast("int")

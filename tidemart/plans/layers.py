@@ -58,7 +58,7 @@ class Warehouse:
 
     @cached_property
     def fact_order_items(self) -> DataFrame:
-        return dwh.fact_order_items(self.staged("order_items"), self.staged("orders"))
+        return dwh.fact_order_items(self.staged("order_items"), staging.clean(self.raw.order_heads, "orders"))
 
     @cached_property
     def fact_subscription_events(self) -> DataFrame:
@@ -82,7 +82,8 @@ class Warehouse:
 
     @cached_property
     def order_features(self) -> DataFrame:
-        return marts.order_transaction_features(self.fact_orders, self.fact_order_items)
+        # Items meet their orders in the mart's own join; joining them to the fact first adds nothing.
+        return marts.order_transaction_features(self.fact_orders, self.staged("order_items"))
 
     def marts(self) -> dict[str, DataFrame]:
         return {

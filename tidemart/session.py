@@ -40,6 +40,16 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def python_tasks(df: DataFrame, at_most: int | None = None) -> int:
+    """Number of partitions for groups whose cost is computing, not bytes.
+
+    AQE sizes partitions by bytes and would put many small but slow groups into one task; it
+    leaves an explicit number alone.
+    """
+    n = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return n if at_most is None else min(n, at_most)
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the scratch folder and read it back.
 

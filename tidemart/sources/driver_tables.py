@@ -1,6 +1,6 @@
 """The five RAW tables expressed over TPC-H-shaped Parquet tables.
 
-``item_count``, ``region`` and ``launch_date`` are functions of a key that the row already
+An order's ``item_count`` and ``region`` and a product's ``launch_date`` are functions of a key that the row already
 carries. A plan that does not read them may leave them out of ``lookups``; they are then typed
 NULL constants and the joins that would fetch them are not planned at all.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemart.functions.scalars import lookup, money
 from tidemart.schemas import RAW_SCHEMAS
 
-ALL_LOOKUPS = frozenset({"item_count", "region", "launch_date"})
+ALL_LOOKUPS = frozenset({"item_count", "order_region", "launch_date"})
 
 # Monthly recurring revenue of each market segment.
 SEGMENT_MRR = {
@@ -39,6 +39,8 @@ class RawTables:
     orders: DataFrame
     order_items: DataFrame
     as_of: dt.date
+    # The orders without their lookups, for plans that only need keys and dates.
+    order_heads: DataFrame
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -85,7 +87,7 @@ def raw_orders(spark: SparkSession, sf_dir: str, lookups: frozenset[str] = ALL_L
         )
     else:
         df = df.withColumn("item_count", F.lit(None))
-    if "region" in lookups:
+    if "order_region" in lookups:
         regions = _customer_region(spark, sf_dir).select(F.col("c_custkey").alias("o_custkey"), "region")
         df = df.join(regions, "o_custkey", "left")
     else:
@@ -204,4 +206,5 @@ def raw_tables(spark: SparkSession, sf_dir: str, lookups: frozenset[str] = ALL_L
         orders=raw_orders(spark, sf_dir, lookups),
         order_items=raw_order_items(spark, sf_dir),
         as_of=as_of,
+        order_heads=raw_orders(spark, sf_dir, frozenset()),
     )
