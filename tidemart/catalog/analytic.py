@@ -189,18 +189,18 @@ def m2_one_hot(w):
 
 @query()
 def m3_churn_fit(w):
-    return churn.coefficients(churn.train(w.customer_features), w.latest_features)
+    return churn.coefficients(churn.fit(w.customer_features), w.latest_features)
 
 
 @query()
 def m4_auc(w):
     """Hold-out AUC. Churn in the driver tables is derived from order gaps, so it proves no skill."""
-    model = churn.train(w.customer_features)
-    return overview.metric_rows(w.fact_orders.sparkSession, "churn_model", {"auc": model.auc and round(model.auc, 4)})
+    auc = churn.evaluate(w.customer_features)
+    return overview.metric_rows(w.fact_orders.sparkSession, "churn_model", {"auc": auc and round(auc, 4)})
 
 
 def _scored(w) -> DataFrame:
-    return churn.score(churn.train(w.customer_features), w.latest_features)
+    return churn.score(churn.fit(w.customer_features), w.latest_features)
 
 
 @query()
@@ -227,7 +227,7 @@ def p12_min_risk_filter(w):
 def m12_model_persistence(w):
     """Save the fitted model, load it by path, score with the loaded one."""
     path = scratch_dir(w.fact_orders.sparkSession, "churn-model")
-    churn.save(churn.train(w.customer_features), path)
+    churn.save(churn.fit(w.customer_features), path)
     return churn.score(churn.load(path), w.latest_features).select("customer_id", "churn_probability")
 
 
@@ -327,8 +327,8 @@ def a18_detection_recall(w):
 @query()
 def m11_evaluation_metrics(w):
     """Metrics of the churn model and of every sales series as rows."""
-    model = churn.train(w.customer_features)
-    rows = overview.metric_rows(w.fact_orders.sparkSession, "churn_model", {"auc": model.auc and round(model.auc, 4)})
+    auc = churn.evaluate(w.customer_features)
+    rows = overview.metric_rows(w.fact_orders.sparkSession, "churn_model", {"auc": auc and round(auc, 4)})
     return rows.unionByName(overview.series_metric_rows(forecast.fit(_sales(w)), "sales_forecast_model"))
 
 
@@ -356,6 +356,6 @@ def m14_anomaly_insight(w):
 
 @query()
 def m15_overview_summaries(w):
-    auc = churn.train(w.customer_features).auc
+    auc = churn.evaluate(w.customer_features)
     silhouette = segments.train(w.latest_features, restarts=2).silhouette_sq
     return overview.summaries(overview.kpis(w.dim_customer, w.fact_orders), auc, silhouette, anomaly.CONTAMINATION)
