@@ -41,4 +41,4 @@ def table(spark):
 
 
 def day(offset: int) -> dt.date:
-    return AS_OF + dt.timedelta(days=offset)
+    return AS_OF + dt.timedelta(days=int(offset))
