@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import duckdb  # noqa: F401
 import pytest
 
 import __spark_entry__ as entry

@@ -243,7 +243,7 @@ def m6_kmeans(w):
 @query()
 def m7_silhouette(w):
     """Silhouette on squared Euclidean distances of the scaled features."""
-    model = segments.train(w.latest_features)
+    model = segments.train(w.latest_features, restarts=2)
     return overview.metric_rows(
         w.fact_orders.sparkSession,
         "customer_segments_model",
@@ -261,7 +261,7 @@ def m13_latest_snapshot_predict(w):
 
 @query()
 def a13_cluster_centers(w):
-    return segments.centers(segments.assign(segments.train(w.latest_features), w.latest_features))
+    return segments.centers(segments.assign(segments.train(w.latest_features, restarts=2), w.latest_features))
 
 
 @query()
