@@ -24,7 +24,7 @@ def previous_day_gap(
 ) -> DataFrame:
     """Adds ``hours_since_last_order``: hours since the key's previous row by (day, tie).
 
-    The plain form, LAG over one partition per key, puts all rows of a hot key into one task.
+    The plain form, a LAG over one partition per key, puts all rows of a hot key into one task.
     Here each (key, day, salt) group first names its leader, the row with the smallest tie. A row
     that is not a leader has a predecessor on the same day, so its gap is 0. Leaders go on to the
     LAG over the key; a key has at most ``SAME_DAY_SALTS`` of them per calendar day. Between two
@@ -32,10 +32,11 @@ def previous_day_gap(
     whose previous leader lies on the key's previous active day. All other rows are spread by
     their own hash, so both exchanges stay even.
     """
-    salt = F.pmod(F.xxhash64(tie), F.lit(SAME_DAY_SALTS))
+    row_hash = F.xxhash64(*rows.columns)  # of the whole row, so versions of one tie spread too
+    salt = F.pmod(row_hash, F.lit(SAME_DAY_SALTS))
     same_day = Window.partitionBy(key, day, "_salt").orderBy(tie)
     led = rows.withColumn("_salt", salt).withColumn("_leader", F.row_number().over(same_day) == 1)
-    lane = F.when(F.col("_leader"), F.lit(-1)).otherwise(F.xxhash64(tie, day))
+    lane = F.when(F.col("_leader"), F.lit(-1)).otherwise(row_hash)
     history = Window.partitionBy(key, "_lane").orderBy(day, tie)
     gap = hours_between(F.lag(day).over(history), day)
     return (
