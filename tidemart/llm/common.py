@@ -61,13 +61,15 @@ def fold(doc_id: int | None, divisor: int) -> int | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % divisor
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that a slice has bounded rows and, but for single rows, bounded bytes."""
+def slices(
+    batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that a slice has bounded rows and, but for single rows, about bounded bytes."""
     for batch in batches:
         if batch.num_rows:
-            rows = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, rows):
-                yield batch.slice(at, rows)
+            step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
 
 
 def tokenizer_json(path: str) -> str:
