@@ -41,6 +41,35 @@ def windows(words: pa.Array, n: int, before: str = " ", after: str = " ") -> tup
     return keys, word
 
 
+#: Bits of a letter in letter windows.
+LETTER_BITS = 6
+
+
+def letter_windows(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n letters (10 at most) that end at each letter of a word and at its end.
+
+    A key holds six bits a letter: 0 for a blank before or behind the word, 1 to 26 for a to z, and one of
+    the other 36 values for any other letter, so that rare letters may share a value.
+    """
+    lengths = pc.utf8_length(words).to_numpy().astype(np.int64)
+    points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    latin = (points >= 97) & (points <= 122)
+    codes = np.where(latin, points - 96, 27 + points % 36)
+    # Each word stands behind n - 1 blanks; the next word's first blank is its end.
+    pad = n - 1
+    starts = pad + np.concatenate([[0], np.cumsum(lengths + pad)])
+    row = np.zeros(starts[-1] + 1, np.int64)
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    row[starts[word] + np.arange(len(word)) - (np.cumsum(lengths) - lengths)[word]] = codes
+    many = lengths + 1
+    owner = np.repeat(np.arange(len(many)), many)
+    end = starts[owner] + np.arange(len(owner)) - (np.cumsum(many) - many)[owner]
+    keys = np.zeros(len(owner), np.int64)
+    for k in range(pad, -1, -1):
+        keys = (keys << LETTER_BITS) | row[end - k]
+    return keys, owner
+
+
 def summed(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of the rows between consecutive starts; empty stretches give 0."""
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
