@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemart.llm import bpe, langid, minhash, packing, quality, secret_scan, token_orc, toxicity
+from tidemart.llm import bpe, langid, minhash, packing, quality, secret_scan, subspace, token_orc, toxicity, urlrank
 from tidemart.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+@query
+def op5_url_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrank.verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.round_trip(documents(spark, sf_dir))
@@ -48,6 +53,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir))
 
 
+@query
+def op8_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
