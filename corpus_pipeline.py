@@ -1,8 +1,57 @@
-"""The corpus pipeline over ``documents``; being built up stage by stage."""
+"""The corpus pipeline over ``documents``: toxicity, quality rules, near-duplicates, secrets, packing.
 
-STAGES = []
+Each stage takes the documents that its predecessor kept and, but for the last, returns documents with the
+same columns. ``run`` stores every stage's result before the next one reads it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemart.llm import minhash, packing, quality, secret_scan, toxicity
+from tidemart.llm.common import documents, stored
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the models, fitted on the labelled ones among ``docs``, do not call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.accepted(docs, toxicity.fit(docs, labels))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass all quality rules."""
+    return quality.passing(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return minhash.kept(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts replaced by the secrets' kind."""
+    return secret_scan.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of the documents' token ids in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_low_quality),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("secret_scans", redact_secrets),
+    ("best_fit_packing", pack),
+]
+
+#: The models and the tokenizer are not SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ import json
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +47,15 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return plain.select(*[(F.col(f"c{at[n]}") if n in at else F.lit(None)).cast(t).alias(n) for n, t in types.items()])
 
 
+def by_position(df: DataFrame, change: Callable[[DataFrame, dict[str, int]], DataFrame]) -> DataFrame:
+    """Apply ``change`` to the frame with columns c0, c1, ... and the places of its names; names come back after.
+
+    So extra columns may be called anything. ``change`` has to keep the columns and their order.
+    """
+    places = {name: i for i, name in reversed(list(enumerate(df.columns)))}
+    return change(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), places).toDF(*df.columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemart.llm.common import checkpointed, pick, slices, stored
+from tidemart.llm.common import by_position, checkpointed, pick, slices, stored
 from tidemart.llm.components import components
 
 WORDS = 5
@@ -232,3 +232,27 @@ def groups(docs: DataFrame) -> DataFrame:
             F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
         )
     )
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The documents without all but one of each group of near-duplicates; columns stay as they are.
+
+    Of rows that share the smallest id of a group one stays, the first in the order of texts. Rows without an
+    id all stay.
+    """
+    drop = checkpointed(groups(docs).where(~F.col("kept")).select("doc_id").distinct())
+    few = drop.count() <= MOST_BROADCAST  # else the join shuffles
+
+    def change(rows: DataFrame, at: dict[str, int]) -> DataFrame:
+        key, text = f"c{at['doc_id']}", f"c{at['text']}"
+        gone = drop.select(F.col("doc_id").alias("gone"))
+        left = rows.join(F.broadcast(gone) if few else gone, rows[key] == F.col("gone"), "left_anti")
+        twice = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(f"n > 1 AND {key} IS NOT NULL")
+        twice = checkpointed(twice.select(F.col(key).alias("twice")))
+        if twice.isEmpty():
+            return left
+        first = F.min_by(F.struct(*rows.columns), F.struct(F.col(text).isNull(), F.col(text)))
+        one = left.join(twice, left[key] == F.col("twice"), "left_semi").groupBy(key).agg(first.alias("row"))
+        return left.join(twice, left[key] == F.col("twice"), "left_anti").union(one.select("row.*"))
+
+    return by_position(docs, change)

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemart.llm.common import pick, slices
+from tidemart.llm.common import by_position, pick, slices
 
 #: Order of spans that begin at the same place.
 KINDS = ("assign", "access", "hex", "entropy_base64", "entropy_hex")
@@ -203,23 +203,22 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     Columns, types and all other values stay as they are.
     """
-    names, schema = docs.columns, docs.schema
 
-    def run(batches):
-        for batch in slices(batches):
-            at = names.index("text")
-            old = batch.column(at).to_pylist()
-            new = [redact(t) for t in old]
-            if new == old:
-                yield batch
-                continue
-            columns = list(batch.columns)
-            columns[at] = pa.array(new, batch.schema.field(at).type)
-            if "n_chars" in names:
-                k = names.index("n_chars")
-                kept = batch.column(k).to_pylist()
-                counts = [n if a == b else len(b) for a, b, n in zip(old, new, kept, strict=True)]
-                columns[k] = pa.array(counts, batch.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(run, schema)
+    def change(rows: DataFrame, places: dict[str, int]) -> DataFrame:
+        at, count_at = places["text"], places.get("n_chars")
+
+        def run(batches):
+            for batch in slices(batches):
+                old = batch.column(at).to_pylist()
+                new = [redact(t) for t in old]
+                columns = list(batch.columns)
+                columns[at] = pa.array(new, columns[at].type)
+                if count_at is not None:
+                    kept = columns[count_at].to_pylist()
+                    counts = [n if a == b else len(b) for a, b, n in zip(old, new, kept, strict=True)]
+                    columns[count_at] = pa.array(counts, columns[count_at].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return by_position(docs, change)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemart.llm.common import pick, remainder, slices
+from tidemart.llm.common import by_position, pick, remainder, slices
 from tidemart.llm.grams import LETTER_BITS, letter_windows, numbered_words, summed
 
 #: Letters of a window; log-ratio of a word beyond which it counts as evidence.
@@ -266,12 +266,16 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are not predicted toxic; columns and rows are otherwise as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
-    def run(batches):
-        for batch in slices(batches, 4_000, 8 << 20):
-            keep = scores(shared.value, batch.column(at)) < THRESHOLD
-            if keep.any():
-                yield batch.filter(pa.array(keep))
+    def change(rows: DataFrame, places: dict[str, int]) -> DataFrame:
+        at = places["text"]
+
+        def run(batches):
+            for batch in slices(batches, 4_000, 8 << 20):
+                keep = scores(shared.value, batch.column(at)) < THRESHOLD
+                if keep.any():
+                    yield batch.filter(pa.array(keep))
+
+        return rows.mapInArrow(run, rows.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_position(docs, change)
