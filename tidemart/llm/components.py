@@ -1,4 +1,4 @@
-"""Connected components of a distributed edge list, by contraction."""
+"""Connected components of a distributed edge list, by alternating stars."""
 
 from __future__ import annotations
 
@@ -8,44 +8,31 @@ from pyspark.sql import functions as F
 from tidemart.llm.common import checkpointed
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Both steps on edges (a, b) with a > b: larger neighbours, then smaller ones, move to the smallest one."""
+    ends = edges.union(edges.select("b", "a"))
+    least = ends.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+    large = ends.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    least = large.groupBy("a").agg(F.min("b").alias("least"))
+    small = large.join(least, "a")
+    moved = small.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return moved.union(small.select("a", "least")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the smallest node of its component.
 
-    Each round every node points at its smallest neighbour if that is smaller; chains of pointers are halved
-    until they end; then the edges between roots remain. A round at least halves the nodes with edges, so the
-    rounds grow with the logarithm of their number. Edges and pointers stay distributed; all are checkpointed.
+    Every round hangs each node's larger neighbours, and then its smaller ones, under its smallest neighbour,
+    until nothing moves; the rounds grow with the logarithm of the number of nodes. Edges stay distributed and
+    are checkpointed; the neighbours of one node are never gathered.
     """
-    left = checkpointed(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    )
-    labels = None
-    while not left.isEmpty():
-        ends = left.union(left.select("b", "a").toDF("a", "b"))
-        up = checkpointed(ends.groupBy("a").agg(F.min("b").alias("up")).select("a", F.least("a", "up").alias("up")))
-        while True:
-            higher = up.select(F.col("a").alias("up"), F.col("up").alias("top"))
-            jumped = checkpointed(up.join(higher, "up").select("a", "up", "top"))
-            moved = not jumped.where("top <> up").isEmpty()
-            up = jumped.select("a", F.col("top").alias("up"))
-            if not moved:
-                break
-        roots = up.select(F.col("a").alias("old"), F.col("up").alias("new"))
-        if labels is None:
-            labels = up.toDF("node", "root")
-        else:
-            labels = checkpointed(
-                labels.join(roots, labels["root"] == roots["old"], "left").select(
-                    "node", F.coalesce("new", "root").alias("root")
-                )
-            )
-        ra, rb = roots.toDF("a", "ra"), roots.toDF("b", "rb")
-        left = checkpointed(
-            left.join(ra, "a")
-            .join(rb, "b")
-            .select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-    if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-    return labels
+    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    left, before = checkpointed(pairs), None
+    while True:
+        state = left.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before or state[0] == 0:
+            break
+        before = state
+        left = checkpointed(_stars(left))
+    roots = left.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return left.toDF("node", "root").union(roots)

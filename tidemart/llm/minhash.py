@@ -5,11 +5,11 @@ groups of two small hash collections; a table key joins one entry of the one wit
 ``SIDE * SIDE`` tables of a group need only ``2 * SIDE`` entries, about the square root of the hashing.
 
 Nodes that share a key are candidates. To find all links between components without all pairs:
-1. of every key, the smallest node is paired with the others (a star); 2. pairs whose sizes or sketches rule
-a link out go; the rest is verified on full sets; 3. linked nodes form components, and only keys that still
-hold several components go on; 4. after some stars with other centres, all pairs of nodes in different
-components that share a key are verified. So a group of thousands of near copies costs a few pairs a node,
-while every candidate pair either is verified or lies within one component already.
+1. of every key, the smallest and the largest node are paired with the others (two stars); 2. pairs whose
+sizes or sketches rule a link out go; the rest is verified on full sets; 3. linked nodes form components, and
+only keys that still hold several components go on; 4. of those, all pairs of nodes in different components
+are verified. So a group of thousands of near copies costs a few pairs a node, while every candidate pair
+either is verified or lies within one component already.
 
 At a similarity of 0.75 a pair shares no key with a probability below 1 in 10,000, and less for closer ones.
 
@@ -40,8 +40,6 @@ N_HASHES = GROUPS * SIDE * (LEFT + RIGHT)
 N_TABLES = GROUPS * SIDE * SIDE
 #: Equal hashes (by their low byte) that a pair needs to be verified: 4.7 deviations below a similarity of 0.75.
 SKETCH_LEAST = 58
-#: Stars with different centres before the remaining candidates are enumerated.
-STARS = 3
 #: Ids up to which a set of them is broadcast (16 MB); beyond that, documents are shuffled to them.
 MOST_BROADCAST = 1_000_000
 
@@ -176,38 +174,27 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def _shared(rows: DataFrame, value: str) -> DataFrame:
-    """Rows (key, node, ...) of keys with different values in column ``value``."""
-    mixed = rows.groupBy("key").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo <> hi")
-    return rows.join(mixed.select("key"), "key")
-
-
 def link(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links (a, b) that connect what candidates can connect; ``nodes``: node, n, keys, sketch."""
     rows = nodes.select(F.explode("keys").alias("key"), "node")
-    first = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("hi")).where("hub <> hi")
-    shared = stored(rows.join(first.select("key", "hub"), "key"), "keys")
-    links = checkpointed(
-        verified(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, docs)
+    ends = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    shared = stored(rows.join(ends, "key"), "keys")
+    stars = shared.select("node", F.explode(F.array("lo", "hi")).alias("hub")).where("node <> hub")
+    links = checkpointed(verified(_ordered(stars), nodes, docs))
+    # What is in one component by now needs no more comparing; keys with several components do.
+    roots = components(links)
+    named = shared.select("key", "node").join(roots, "node", "left").select(
+        "key", "node", F.coalesce("root", "node").alias("root")
     )
-    left = shared.select("key", "node")
-    for star in range(1, STARS + 1):
-        roots = components(links)
-        named = left.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        left = checkpointed(_shared(named, "root"))
-        if left.isEmpty():
-            return links
-        if star < STARS:  # another centre for each key: the smallest by a hash
-            centre = F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("h"), "node", "root")).alias("c")
-            hubs = left.groupBy("key").agg(centre).select("key", "c.node", "c.root").toDF("key", "hub", "hub_root")
-            pairs = left.join(hubs, "key").where("root <> hub_root").select("hub", "node")
-        else:  # all remaining pairs between components
-            other = left.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            pairs = left.join(other, "key").where("root < other_root").select("other", "node")
-        found = verified(pairs.select(F.least(*pairs.columns).alias("a"), F.greatest(*pairs.columns).alias("b")).distinct(), nodes, docs)
-        links = checkpointed(links.union(found))
-        left = left.select("key", "node")
-    return links
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    left = stored(named.join(mixed.select("key"), "key"), "mixed-keys")
+    other = left.select("key", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    across = left.join(other, "key").where("root < hub_root").select("node", "hub")
+    return checkpointed(links.union(verified(_ordered(across), nodes, docs)))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
