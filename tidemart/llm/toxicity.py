@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemart.llm.common import by_position, pick, remainder, slices
+from tidemart.llm.common import by_position, checkpointed, pick, remainder, slices
 from tidemart.llm.grams import LETTER_BITS, letter_windows, numbered_words, summed
 
 #: Letters of a window; log-ratio of a word beyond which it counts as evidence.
@@ -35,6 +35,8 @@ ORDER, CLEAR = 8, 1.0
 THRESHOLD = 0.7
 MOST_GRAMS = 1_000_000
 CALIBRATION_ROWS = 20_000
+#: Labels up to which they are broadcast (16 MB); beyond that, documents are shuffled to them.
+MOST_BROADCAST = 1_000_000
 #: One learning document in so many is left to the curve.
 CALIBRATION_SHARE = 5
 FEATURES = ("mean", "best", "best_three", "log_mass", "log_words")
@@ -171,9 +173,12 @@ def learning_rows(docs: DataFrame, labels: DataFrame, held_out: int, folds: int)
         .groupBy("doc_id")
         .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     )
+    known = checkpointed(known)
+    few = known.count() <= MOST_BROADCAST  # else the join shuffles
     texts = pick(docs, doc_id="bigint", text="string").where(remainder(F.col("doc_id"), folds) != held_out)
     part = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / folds) % CALIBRATION_SHARE
-    return texts.join(known, "doc_id").select("doc_id", "text", "toxic", (part == 0).alias("for_curve"))
+    rows = texts.join(F.broadcast(known) if few else known, "doc_id")
+    return rows.select("doc_id", "text", "toxic", (part == 0).alias("for_curve"))
 
 
 def count_windows(rows: DataFrame) -> DataFrame:
