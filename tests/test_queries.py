@@ -1,4 +1,4 @@
-"""A sample of registered queries against SQL; tests/oracle_check.py runs all of them."""
+"""All registered queries that have SQL, against it."""
 
 from __future__ import annotations
 
@@ -6,21 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle_check import connect, difference
+from tidemart.catalog import oracle
 from tidemart.plans import semantic
 
 SF = "/root/testdata/sf0.001"
-NAMES = [
-    "ts3_customer_training_dataset",
-    "ts4_order_transaction_features",
-    "a2_daily_product_demand",
-    "j5_eligible_snapshots",
-    "w5_stratified_split",
-    "w7_contamination_cutoff",
-    "q4_metric_query",
-    "q10_document_search_all",
-    "q14_qc_referential_integrity",
-    "s7_auto_ingest",
-]
+NAMES = sorted(n for n in oracle.statements() if n in entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

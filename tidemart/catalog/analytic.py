@@ -177,7 +177,7 @@ def a16_residual_std(w):
 @query()
 def m1_scale(w):
     """Scaled numbers of the newest snapshot: mean and spread per feature."""
-    return segments.scaled_moments(segments.train(w.latest_features, restarts=1), w.latest_features)
+    return segments.scaled_moments(segments.train(w.latest_features), w.latest_features)
 
 
 @query()
@@ -220,7 +220,7 @@ def t2_top_risk_customers(w):
 
 @query()
 def p12_min_risk_filter(w):
-    return churn.top_risk(_scored(w), limit=churn.LIMIT_MAX, min_risk=0.3)
+    return churn.at_risk(_scored(w), min_risk=0.3)
 
 
 @query()
@@ -243,7 +243,7 @@ def m6_kmeans(w):
 @query()
 def m7_silhouette(w):
     """Silhouette on squared Euclidean distances of the scaled features."""
-    model = segments.train(w.latest_features, restarts=2)
+    model = segments.train(w.latest_features)
     return overview.metric_rows(
         w.fact_orders.sparkSession,
         "customer_segments_model",
@@ -254,14 +254,14 @@ def m7_silhouette(w):
 @query()
 def m13_latest_snapshot_predict(w):
     """Cluster members as reported: id, cluster, and the three shown features."""
-    model = segments.train(w.latest_features, restarts=2)
+    model = segments.train(w.latest_features)
     assigned = segments.assign(model, w.latest_features)
     return assigned.select("customer_id", "cluster_id", d("recency_days", 1), d("frequency_90d", 1), d("monetary_90d", 1))
 
 
 @query()
 def a13_cluster_centers(w):
-    return segments.centers(segments.assign(segments.train(w.latest_features, restarts=2), w.latest_features))
+    return segments.centers(segments.assign(segments.train(w.latest_features), w.latest_features))
 
 
 @query()
@@ -345,7 +345,7 @@ def m14_churn_insight(w):
 
 @query()
 def m14_segment_insight(w):
-    model = segments.train(w.latest_features, restarts=2)
+    model = segments.train(w.latest_features)
     return overview.segment_insight(segments.summary(segments.assign(model, w.latest_features)), model.silhouette_sq)
 
 
@@ -357,5 +357,5 @@ def m14_anomaly_insight(w):
 @query()
 def m15_overview_summaries(w):
     auc = churn.evaluate(w.customer_features)
-    silhouette = segments.train(w.latest_features, restarts=2).silhouette_sq
+    silhouette = segments.train(w.latest_features).silhouette_sq
     return overview.summaries(overview.kpis(w.dim_customer, w.fact_orders), auc, silhouette, anomaly.CONTAMINATION)

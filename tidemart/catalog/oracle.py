@@ -98,7 +98,7 @@ order_stats AS (
     max(o.order_date) FILTER (WHERE o.order_date <= b.snapshot_date) AS last_order_date
   FROM base b LEFT JOIN stg_orders o ON o.customer_id = b.customer_id
   GROUP BY b.customer_id, b.snapshot_date),
-features AS (
+features AS MATERIALIZED (
   SELECT customer_id, snapshot_date, CAST(snapshot_date - last_order_date AS BIGINT) AS recency_days,
     CAST(frequency_90d AS BIGINT) AS frequency_90d, CAST(round(monetary_90d, 2) AS DOUBLE) AS monetary_90d,
     round(CAST(monetary_90d AS DOUBLE) / nullif(frequency_90d, 0), 6) AS avg_order_value,
@@ -422,7 +422,7 @@ FROM daily_sales GROUP BY 1, 2 ORDER BY 1, 2""",
     ),
     "q3_top_products_by_demand": """
 SELECT product_id, CAST(sum(quantity_sold) AS BIGINT) AS total_quantity FROM demand
-WHERE order_date >= (SELECT d - 365 FROM as_of) GROUP BY product_id ORDER BY total_quantity DESC, product_id LIMIT 5""",
+WHERE order_date >= (SELECT d - 30 FROM as_of) GROUP BY product_id ORDER BY total_quantity DESC, product_id LIMIT 5""",
     "q4_metric_query": """
 SELECT CAST(date_trunc('year', snapshot_date) AS DATE) AS period, plan_type, round(sum(monetary_90d), 2) AS sum_monetary_90d,
   max(frequency_90d) AS max_frequency_90d
@@ -450,7 +450,7 @@ SELECT table_name, loaded_rows, source_rows, loaded_rows = source_rows AS matche
             ("order_id", "order_id"),
             ("order_date", "order_date"),
             ("channel", "channel"),
-            ("order_amount", "CAST(trunc(order_amount) AS BIGINT)"),
+            ("order_amount", "CAST(order_amount AS DECIMAL(18, 2))"),
             ("item_count", "item_count"),
         ]
     ),

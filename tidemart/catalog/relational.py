@@ -806,8 +806,7 @@ def q2_high_risk_count_by_region(w):
 
 @query()
 def q3_top_products_by_demand(w):
-    """A wide window, since the top products of the driver tables sell on few days."""
-    return semantic.top_products_by_demand(w.daily_product_demand, w.as_of, days=365)
+    return semantic.top_products_by_demand(w.daily_product_demand, w.as_of)
 
 
 @query()
@@ -851,7 +850,7 @@ def q12_qc_row_counts(w):
 
 @query(ITEMS)
 def q13_qc_profile(w):
-    orders = w.raw.orders.withColumn("order_amount", F.col("order_amount").cast("bigint"))
+    orders = w.raw.orders.withColumn("order_amount", F.col("order_amount").cast("decimal(18,2)"))
     rows = quality.profile(orders, ["order_id", "order_date", "channel", "order_amount", "item_count"])
     return rows.select("column_name", d("null_rate", 6), "min_value", "max_value")
 

@@ -26,7 +26,7 @@ def previous_day_gap(
 
     The plain form, a LAG over one partition per key, puts all rows of a hot key into one task.
     Here each (key, day, salt) group first names its leader, the row with the smallest tie. A row
-    that is not a leader has a predecessor on the same day, so its gap is 0. Leaders go on to the
+    that is not a leader has a predecessor on the same day, so its gap is 0; without a day it is NULL. Leaders go on to the
     LAG over the key; a key has at most ``SAME_DAY_SALTS`` of them per calendar day. Between two
     leaders of one day the LAG gives 0 as it should, and the day's first row is always a leader
     whose previous leader lies on the key's previous active day. All other rows are spread by
@@ -41,7 +41,7 @@ def previous_day_gap(
     gap = hours_between(F.lag(day).over(history), day)
     return (
         led.withColumn("_lane", lane)
-        .withColumn("hours_since_last_order", F.when(F.col("_leader"), gap).otherwise(F.lit(0)))
+        .withColumn("hours_since_last_order", F.when(F.col("_leader"), gap).when(F.col(day).isNotNull(), F.lit(0)))
         .select(*rows.columns, F.col("hours_since_last_order").cast("bigint"))
     )
 

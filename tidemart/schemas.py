@@ -60,14 +60,6 @@ RAW_SCHEMAS: dict[str, T.StructType] = {
 
 RAW_COLUMNS = {table: schema.names for table, schema in RAW_SCHEMAS.items()}
 
-RAW_KEYS = {
-    "customers": "customer_id",
-    "subscriptions": "subscription_id",
-    "products": "product_id",
-    "orders": "order_id",
-    "order_items": "order_item_id",
-}
-
 # (child table, child column, parent table): the parent column has the same name.
 FOREIGN_KEYS = [
     ("subscriptions", "customer_id", "customers"),
@@ -86,6 +78,3 @@ DOCUMENT_SCHEMA = _struct(
     ("content", _STR),
     ("updated_at", _DATE),
 )
-
-# Monthly recurring revenue by plan.
-PLAN_MRR = {"basic": 980, "standard": 2980, "premium": 9800}

@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,14 +120,29 @@ class SearchIndex:
             )
 
     def refresh_stream(self, docs: DataFrame, checkpoint: str):
-        """Start a stream that indexes each arriving batch of documents under its batch id."""
+        """Start a stream that indexes each arriving batch of documents as a new version.
+
+        Versions go up from the newest stored one, so a stream never overwrites what is indexed, whatever its
+        checkpoint. A batch that is run again becomes one more version of the same documents.
+        """
         return (
-            docs.writeStream.foreachBatch(lambda batch, batch_id: self.refresh(batch, batch_id))
+            docs.writeStream.foreachBatch(lambda batch, _: self.refresh(batch, self.next_version()))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
         )
 
+    def next_version(self) -> int:
+        """One more than the newest version with documents or postings; 0 for a new index."""
+        newest = -1
+        for name in ("docs", "postings"):
+            try:
+                stored = self.spark.read.parquet(f"{self.path}/{name}")
+            except AnalysisException:  # nothing is stored yet
+                continue
+            newest = max(newest, stored.agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0])
+        return newest + 1
+
     def live_docs(self) -> DataFrame:
         docs = self.spark.read.parquet(f"{self.path}/docs")
         row = F.struct("version", "length", *self.attributes)

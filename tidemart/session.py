@@ -7,15 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings the plans rely on. Skewed join keys are split at run time by AQE, also where
-# that costs an extra exchange because a later operator wanted the join's partitioning.
+# Settings the plans rely on. Skewed join keys are split at run time by AQE.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -50,15 +47,6 @@ def python_tasks(df: DataFrame, at_most: int | None = None) -> int:
     return n if at_most is None else min(n, at_most)
 
 
-# An iterative fit starts one task per partition and iteration; fewer rows than this are not worth one.
-ROWS_PER_FIT_TASK = 100_000
-
-
-def for_iterations(df: DataFrame, n_rows: int) -> DataFrame:
-    """Merge the partitions of a small table before an iterative fit; large tables keep theirs."""
-    return df.coalesce(max(1, n_rows // ROWS_PER_FIT_TASK))
-
-
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the scratch folder and read it back.
 

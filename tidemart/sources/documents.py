@@ -25,7 +25,7 @@ def parse_documents(files: DataFrame) -> DataFrame:
         _field(F.col("header"), "title").alias("title"),
         _field(F.col("header"), "category").alias("category"),
         F.regexp_replace("body", r"^\s+|\s+$", "").alias("content"),
-        F.to_date(_field(F.col("header"), "updated_at")).alias("updated_at"),
+        _field(F.col("header"), "updated_at").try_cast("date").alias("updated_at"),
     )
 
 

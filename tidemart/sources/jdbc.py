@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemart.functions.scalars import nan_to_null
-from tidemart.schemas import LOAD_ORDER, RAW_COLUMNS
+from tidemart.schemas import FOREIGN_KEYS, LOAD_ORDER, RAW_COLUMNS
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,13 @@ def write_options(db: JdbcDatabase, table: str) -> dict[str, str]:
 
 
 def load_tables(tables: Mapping[str, DataFrame], db: JdbcDatabase) -> list[str]:
-    """Replace the contents of the given tables, parents before children."""
+    """Replace the contents of the given tables, parents before children.
+
+    Emptying a table also empties those that refer to it, so these have to be given with it.
+    """
+    for child, _, parent in FOREIGN_KEYS:
+        if parent in tables and child not in tables:
+            raise ValueError(f"loading {parent} empties {child}; give both")
     loaded = []
     for table in (t for t in LOAD_ORDER if t in tables):
         writer = loadable(tables[table], table).write.format("jdbc").mode("overwrite")
