@@ -36,7 +36,7 @@ _ID_MASK, _NONE = (1 << _ID_BITS) - 1, 1 << 60
 _PLAIN = f"^[{LETTERS}]+[.,;:!?()\"-]*$"
 _LETTERS = re.compile(f"[{LETTERS}]+")
 #: Distinct pieces, and words, that a task keeps; about 250 bytes each.
-MOST_KNOWN = 500_000
+MOST_KNOWN = 300_000
 
 
 class WordBpe:
