@@ -186,7 +186,7 @@ def count_windows(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         keys, counts, size = [], [], 0
-        for batch in slices(batches, 4_000, 8 << 20):
+        for batch in slices(batches, 1_500, 3 << 20):
             toxic = batch.column(1).to_numpy().astype(bool)
             words, places, starts = numbered_words(batch.column(0))
             is_toxic = np.repeat(toxic, np.diff(starts))
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in slices(batches, 4_000, 8 << 20):
+        for batch in slices(batches, 1_500, 3 << 20):
             x = features(shared.value, batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, x.T)], ["toxic", *FEATURES])
 
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: Model, held_out: int = 1, folds: int = 3) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in slices(batches, 4_000, 8 << 20):
+        for batch in slices(batches, 1_500, 3 << 20):
             s = scores(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
@@ -276,7 +276,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         at = places["text"]
 
         def run(batches):
-            for batch in slices(batches, 4_000, 8 << 20):
+            for batch in slices(batches, 1_500, 3 << 20):
                 keep = scores(shared.value, batch.column(at)) < THRESHOLD
                 if keep.any():
                     yield batch.filter(pa.array(keep))
