@@ -13,8 +13,9 @@ from tokenizers import Tokenizer
 
 from tests.llm.conftest import EDGES, prose
 from tidemart.llm import bpe, packing, token_orc
-from tidemart.llm.common import scratch, tokenizer_json
+from tidemart.llm.common import tokenizer_json
 from tidemart.llm.library_tokens import LibraryTokens
+from tidemart.session import scratch_dir
 
 ODD = "abcXYZ 's't're don't I'LL 123 é Σας ΣΑΣ İ ﬁ ½ ² \x00\x1c\x1f\x85\xa0 \t\r\n\x0b<|endoftext|> <|startoftext|>x 가각 漢 \U0001f600 ... ſ K ß w. W,"
 
@@ -60,7 +61,7 @@ def test_bpe_digest_over_edges(docs):
 def test_orc_files_hold_all_ids_in_order(spark, docs):
     library = Tokenizer.from_file(token_orc.DEFAULT)
     rows = [*EDGES, *[(i, prose(i % 50, i)) for i in range(200, 100, -1)]]
-    path = scratch(spark, "orc-test")
+    path = scratch_dir(spark, "orc-test")
     token_orc.write(docs(rows), path)
     got = token_orc.digest(spark, path).orderBy("start").collect()
     ids = {}

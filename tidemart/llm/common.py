@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,27 +10,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemart.session import scratch_dir
+
 #: Rows that a Python task turns into Python objects at once; long texts make a slice shorter.
 SLICE_ROWS, SLICE_BYTES = 8192, 12 << 20
 
 
-def scratch(spark: SparkSession, purpose: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemart-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` into the shared folder; sets a folder only where the session has none."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemart-"))
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoints"))
     return df.checkpoint()
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the scratch folder and read it back: outlives executors and is compressed."""
-    path = scratch(df.sparkSession, purpose)
+    path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -21,8 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemart.llm.common import pick, scratch, slices, tokenizer_json
+from tidemart.llm.common import pick, slices, tokenizer_json
 from tidemart.llm.library_tokens import library_tokens
+from tidemart.session import scratch_dir
 
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -97,6 +98,6 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(docs: DataFrame) -> DataFrame:
     """Write the documents' ids to a new scratch folder and digest what the files hold."""
     spark = docs.sparkSession
-    path = scratch(spark, "token-orc")
+    path = scratch_dir(spark, "token-orc")
     write(docs, path)
     return digest(spark, path)
