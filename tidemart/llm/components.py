@@ -12,7 +12,7 @@ def _stars(edges: DataFrame) -> DataFrame:
     """Both steps on edges (a, b) with a > b: larger neighbours, then smaller ones, move to the smallest one."""
     ends = edges.union(edges.select("b", "a"))
     least = ends.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-    large = ends.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    large = ends.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     least = large.groupBy("a").agg(F.min("b").alias("least"))
     small = large.join(least, "a")
     moved = small.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))

@@ -5,11 +5,12 @@ groups of two small hash collections; a table key joins one entry of the one wit
 ``SIDE * SIDE`` tables of a group need only ``2 * SIDE`` entries, about the square root of the hashing.
 
 Nodes that share a key are candidates. To find all links between components without all pairs:
-1. of every key, the smallest and the largest node are paired with the others (two stars); 2. pairs whose
-sizes or sketches rule a link out go; the rest is verified on full sets; 3. linked nodes form components, and
-only keys that still hold several components go on; 4. of those, all pairs of nodes in different components
-are verified. So a group of thousands of near copies costs a few pairs a node, while every candidate pair
-either is verified or lies within one component already.
+1. of every key, the smallest and the largest node are its hubs, and each node is paired with at most three
+of its hubs; 2. pairs whose sizes or sketches rule a link out go; the rest is verified on full sets; 3. linked
+nodes form components, and only keys that still hold several components go on, with hubs of two of them; 4.
+after some rounds, all pairs of nodes in different components that share a key are verified. So a group of
+thousands of near copies costs a few pairs a node, while every candidate pair either is verified or lies
+within one component already.
 
 At a similarity of 0.75 a pair shares no key with a probability below 1 in 10,000, and less for closer ones.
 
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemart.llm.common import by_position, checkpointed, pick, slices, stored
@@ -35,11 +36,13 @@ WORDS = 5
 #: A link needs 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
 #: Groups of tables; entries of each collection in a group; hashes in an entry of the two collections.
-GROUPS, SIDE, LEFT, RIGHT = 7, 3, 2, 3
+GROUPS, SIDE, LEFT, RIGHT = 9, 3, 3, 3
 N_HASHES = GROUPS * SIDE * (LEFT + RIGHT)
 N_TABLES = GROUPS * SIDE * SIDE
 #: Equal hashes (by their low byte) that a pair needs to be verified: 4.7 deviations below a similarity of 0.75.
-SKETCH_LEAST = 58
+SKETCH_LEAST = int(N_HASHES * 0.75 - 4.7 * (N_HASHES * 0.75 * 0.25) ** 0.5)
+#: Rounds of stars before the remaining candidates are enumerated.
+ROUNDS = 2
 #: Ids up to which a set of them is broadcast (16 MB); beyond that, documents are shuffled to them.
 MOST_BROADCAST = 1_000_000
 
@@ -110,7 +113,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n (size of its set), set_key, table keys, sketch. Empty sets have null keys."""
 
     def run(batches):
-        for batch in slices(batches, 4_000, 8 << 20):
+        for batch in slices(batches, 2_000, 4 << 20):
             values, starts = shingle_sets(batch.column(1))
             n = np.diff(starts)
             some = np.flatnonzero(n > 0)
@@ -142,23 +145,31 @@ def sketched(docs: DataFrame) -> DataFrame:
     )
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+def _side(nodes: DataFrame, c: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+
+
+def _may_link() -> Column:
+    """Whether sizes and sketches (na, nb, sa, sb) leave a link possible."""
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    plausible = checkpointed(
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where("100 * least(na, nb) >= 75 * greatest(na, nb)")
-        .where(equal >= SKETCH_LEAST)
-        .select("a", "b", "na", "nb")
-    )
+    return (100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")) & (equal >= SKETCH_LEAST)
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, na, nb) of those pairs (a, b) that may be links."""
+    both = pairs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b")
+    return both.where(_may_link()).select("a", "b", "na", "nb")
+
+
+def verified(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the plausible pairs whose full sets are similar enough."""
+    plausible = checkpointed(candidates)
     ids = checkpointed(plausible.select(F.col("a").alias("doc_id")).union(plausible.select("b")).distinct())
     few = ids.count() <= MOST_BROADCAST  # else the join shuffles
     texts = pick(docs, doc_id="bigint", text="string").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def run(batches):
-        for batch in slices(batches, 4_000, 8 << 20):
+        for batch in slices(batches, 2_000, 4 << 20):
             values, starts = shingle_sets(batch.column(1))
             sets = pa.ListArray.from_arrays(starts.astype(np.int32), values.astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["doc_id", "set"])
@@ -180,20 +191,38 @@ def link(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     ends = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     shared = stored(rows.join(ends, "key"), "keys")
     stars = shared.select("node", F.explode(F.array("lo", "hi")).alias("hub")).where("node <> hub")
-    links = checkpointed(verified(_ordered(stars), nodes, docs))
-    # What is in one component by now needs no more comparing; keys with several components do.
-    roots = components(links)
-    named = shared.select("key", "node").join(roots, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root")
+    left, links = shared.select("key", "node"), None
+    for _ in range(ROUNDS):
+        found = checkpointed(verified(plausible(_best(stars), nodes), docs))
+        links = found if links is None else checkpointed(links.union(found))
+        # What is in one component by now needs no more comparing; keys with several components do.
+        named = left.join(components(links), "node", "left").select(
+            "key", "node", F.coalesce("root", "node").alias("root")
+        )
+        one = F.struct("root", "node")
+        mixed = named.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.root <> hi.root")
+        kept = stored(named.join(mixed, "key"), "mixed-keys")
+        left = kept.select("key", "node")
+        stars = (
+            kept.select("node", "root", F.explode(F.array("lo", "hi")).alias("hub"))
+            .where("root <> hub.root")
+            .select("node", "hub.node")
+            .toDF("node", "hub")
+        )
+    full = kept.select("key", "node", "root").join(nodes.select("node", "n", "sketch"), "node")
+    x = full.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    y = full.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    across = x.join(y, (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & _may_link()).select("a", "b", "na", "nb")
+    return checkpointed(links.union(verified(across.distinct(), docs)))
+
+
+def _best(stars: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node with the hub it shares most keys with, and with its smallest and largest one."""
+    counted = stars.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("keys"))
+    most = counted.groupBy("node").agg(
+        F.max(F.struct("keys", "hub")).alias("most"), F.min("hub").alias("lo"), F.max("hub").alias("hi")
     )
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    left = stored(named.join(mixed.select("key"), "key"), "mixed-keys")
-    other = left.select("key", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    across = left.join(other, "key").where("root < hub_root").select("node", "hub")
-    return checkpointed(links.union(verified(_ordered(across), nodes, docs)))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
+    pairs = most.select("node", F.explode(F.array("most.hub", "lo", "hi")).alias("hub"))
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
