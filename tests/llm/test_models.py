@@ -116,3 +116,17 @@ def test_toxicity_over_edges(spark, fitted, docs):
     assert {r.score for r in toxicity.score(frame, none).collect()} == {0.0}
     empty = toxicity.fit(docs([]), labels.limit(0))
     assert toxicity.score(docs([]), empty).count() == 0
+
+
+def test_windows_beyond_the_broadcast_count_all_the_same(fitted, docs, monkeypatch):
+    frame, labels, model = fitted
+    texts = frame.union(docs([*EDGES, (9_000, prose(60, 1) + " grumbliest"), (9_001, prose(30, 2))]))
+
+    def scores(model):
+        return sorted((r.doc_id or -1, round(r.score, 9)) for r in toxicity.score(texts, model).collect())
+
+    want, kept = scores(model), toxicity.accepted(texts, model).count()
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 40)
+    small = toxicity.fit(frame, labels)
+    assert np.allclose(small.curve, model.curve) and np.allclose(np.array(scores(small)), np.array(want), atol=1e-6)
+    assert toxicity.accepted(texts, small).count() == kept

@@ -9,8 +9,11 @@ beside them the log of its number of words, since the best of many is higher by
 fitted on labelled documents that the counts leave out, turns them into a score.
 
 The counts cover all labelled documents of the learning folds but one fifth; the curve is fitted on at most
-about ``CALIBRATION_ROWS`` documents of that fifth. The model broadcast is bounded by ``MOST_GRAMS``
-windows, the most frequent ones.
+about ``CALIBRATION_ROWS`` documents of that fifth. All windows are kept, as a distributed table. It is dealt by
+the three letters before the last, so that a task smooths its share of the longer windows by itself, and the
+windows of up to three letters, bounded by the alphabet, are smoothed on the driver. For scoring, the different
+windows of the texts are joined to that table; the ``MOST_GRAMS`` most frequent ones are broadcast with their
+log-ratios, and texts get their other windows' by a join.
 
 Defined results: null and empty texts score by the curve with all features 0. Without labels of both classes
 every score is 0. Of several labels of a document the highest counts; null labels and ids are not learned
@@ -19,6 +22,7 @@ from. Texts are scored whole; repeated rows give repeated results; an empty tabl
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -27,12 +31,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemart.llm.common import by_position, checkpointed, pick, remainder, slices
+from tidemart.llm.common import by_position, checkpointed, pick, remainder, slices, stored
 from tidemart.llm.grams import LETTER_BITS, letter_windows, numbered_words, summed
 
 #: Letters of a window; log-ratio of a word beyond which it counts as evidence.
 ORDER, CLEAR = 8, 1.0
+#: Letters of the longest windows that are smoothed on the driver: 64 ** 3 at most.
+SHORT = 3
 THRESHOLD = 0.7
+#: Windows whose log-ratios are broadcast; others are joined.
 MOST_GRAMS = 1_000_000
 CALIBRATION_ROWS = 20_000
 #: Labels up to which they are broadcast (16 MB); beyond that, documents are shuffled to them.
@@ -42,15 +49,23 @@ CALIBRATION_SHARE = 5
 FEATURES = ("mean", "best", "best_three", "log_mass", "log_words")
 
 
+Table = tuple[np.ndarray, np.ndarray]
+
+
 @dataclass(frozen=True)
 class Model:
-    """Sorted keys with log P(toxic) - log P(ordinary); ``curve`` is the intercept and a weight for each feature."""
+    """``ratios`` (key, ratio): log P(toxic) - log P(ordinary) of all windows that a class has seen, and, for other
+    windows, of the letters before the last one; those have negative keys (:func:`history_key`).
+    ``curve`` is the intercept and a weight for each feature."""
 
-    windows: tuple[np.ndarray, np.ndarray]  # windows that a class has seen
-    histories: tuple[np.ndarray, np.ndarray]  # of other windows, by the letters before the last one
+    ratios: DataFrame | None = None
     curve: np.ndarray | None = None
 
 
+def history_key(history):
+    return -1 - history
+
+
 def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     unique, at = np.unique(keys, return_inverse=True)
     return unique, np.stack([np.bincount(at, v, len(unique)) for v in values.T], axis=1)
@@ -68,61 +83,97 @@ def _suffix(keys: np.ndarray, n: int) -> np.ndarray:
     return keys & ((1 << (LETTER_BITS * n)) - 1)
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """What Kneser-Ney takes off a count of 0, 1, 2, and of 3 or more, from the numbers of such counts."""
-    n1, n2, n3, n4 = (max(1, int((counts == k).sum())) for k in (1, 2, 3, 4))
+def counts_of_counts(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4."""
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def discounts(times: list[int]) -> np.ndarray:
+    """What Kneser-Ney takes off a count of 0, 1, 2, and of 3 or more, from :func:`counts_of_counts`."""
+    n1, n2, n3, n4 = (max(1, n) for n in times)
     y = n1 / (n1 + 2 * n2)
     taken = [0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
     return np.clip(taken, [0, 0.3, 0.5, 0.7], [0, 0.98, 1.5, 2.5])
 
 
-def _interpolated(c: np.ndarray, at: np.ndarray, n_histories: int, lower: np.ndarray):
+def _interpolated(c: np.ndarray, at: np.ndarray, n_histories: int, lower: np.ndarray, taken: np.ndarray | None = None):
     """Log-probabilities of windows with counts c and history numbers at; and log backoff weights."""
-    d = discounts(c)[np.minimum(c, 3).astype(int)]
+    taken = discounts(counts_of_counts(c)) if taken is None else taken
+    d = taken[np.minimum(c, 3).astype(int)]
     total = np.bincount(at, c, n_histories)
     gamma = np.where(total > 0, np.bincount(at, d, n_histories) / np.maximum(total, 1), 1.0)
     p = np.where(c > 0, (c - d) / np.maximum(total, 1)[at], 0.0) + gamma[at] * lower
     return np.log(np.maximum(p, 1e-30)), np.log(np.maximum(gamma, 1e-30))
 
 
-def smooth(grams: np.ndarray, counts: np.ndarray) -> Model:
-    """Interpolated Kneser-Ney models of windows; ``counts`` has a column for each class."""
+def _continued(grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of n letters, and how many different letters stand before each."""
+    return np.unique(_suffix(np.unique(_suffix(grams, n + 1)), n), return_counts=True)
+
+
+def surveyed(grams: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(what, key, number) of one share of the windows, to be summed over all shares.
+
+    ``what`` is 0 for the windows of ``SHORT`` letters with the number of letters before them; the length, up to
+    ``ORDER``, for :func:`counts_of_counts`; for a class's counts and their sums it is beyond ``ORDER``.
+    """
+    rows = [(0, int(g), int(c)) for g, c in zip(*_continued(grams, SHORT))]
+    every = [(n, _continued(grams, n)[1]) for n in range(SHORT + 1, ORDER)]
+    every += [(ORDER, counts.sum(axis=1)), (ORDER + 1, counts[:, 0]), (ORDER + 2, counts[:, 1])]
+    rows += [(n, k, times) for n, c in every for k, times in enumerate(counts_of_counts(c))]
+    return rows + [(ORDER + 3, k, int(n)) for k, n in enumerate(counts.sum(axis=0))]
+
+
+def smooth_short(gram: np.ndarray, c: np.ndarray) -> Table:
+    """Windows of ``SHORT`` letters and their log-probabilities, from all such windows and the letters before them."""
     keys, log_p = np.zeros(1, np.int64), np.full(1, -LETTER_BITS * np.log(2.0))
-    for n in range(1, ORDER + 1):  # the shared model: lower orders count different letters before the window
-        if n < ORDER:
-            gram, c = np.unique(_suffix(np.unique(_suffix(grams, n + 1)), n), return_counts=True)
-        else:
-            gram, per_class = _sum_by(grams, counts)
-            c = per_class.sum(axis=1)
+    for n in range(1, SHORT + 1):  # the shared model: lower orders count different letters before the window
+        g, times = (gram, c) if n == SHORT else _continued(gram, n)
+        history, at = np.unique(g >> LETTER_BITS, return_inverse=True)
+        lower = np.exp(log_p[_find(keys, _suffix(g, n - 1))])
+        keys, (log_p, _) = g, _interpolated(times, at, len(history), lower)
+    return keys, log_p
+
+
+def smooth(grams: np.ndarray, counts: np.ndarray, short: Table, taken: dict[int, np.ndarray]) -> Table:
+    """Interpolated Kneser-Ney models of windows: keys and log-ratios as in :class:`Model`.
+
+    ``counts`` has a column for each class. Windows are all those with certain letters before the last one, ``SHORT``
+    of them; ``short`` and the discounts ``taken`` (see :func:`surveyed`) are those of all windows.
+    """
+    keys, log_p = short
+    grams, counts = _sum_by(grams, counts)
+    for n in range(SHORT + 1, ORDER + 1):
+        gram, c = _continued(grams, n) if n < ORDER else (grams, counts.sum(axis=1))
         history, at = np.unique(gram >> LETTER_BITS, return_inverse=True)
         lower = np.exp(log_p[_find(keys, _suffix(gram, n - 1))])
-        keys, (log_p, _) = gram, _interpolated(c, at, len(history), lower)
+        keys, (log_p, _) = gram, _interpolated(c, at, len(history), lower, taken[n])
     pooled = np.exp(log_p)
-    done = [_interpolated(per_class[:, c], at, len(history), pooled) for c in (0, 1)]
-    return Model(
-        (keys, (done[1][0] - done[0][0]).astype(np.float32)),
-        (history, (done[1][1] - done[0][1]).astype(np.float32)),
-    )
+    done = [_interpolated(counts[:, c], at, len(history), pooled, taken[ORDER + 1 + c]) for c in (0, 1)]
+    ratios = [done[1][k] - done[0][k] for k in (0, 1)]
+    return np.concatenate([keys, history_key(history)]), np.concatenate(ratios).astype(np.float32)
+
 
+def word_ratios(tables: list[Table], words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Per word the toxic less the ordinary log-likelihood, and its number of letters with the end.
 
-def word_ratios(model: Model, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Per word the toxic less the ordinary log-likelihood, and its number of letters with the end."""
+    Tables hold sorted windows and their log-ratios.
+    """
     keys, word = letter_windows(words, ORDER)
-    at = _find(model.windows[0], keys)
-    ratio = np.where(at >= 0, model.windows[1][at], 0.0)
-    left = np.flatnonzero(at < 0)
-    at = _find(model.histories[0], keys[left] >> LETTER_BITS)
-    ratio[left] = np.where(at >= 0, model.histories[1][at], 0.0)
+    ratio = np.zeros(len(keys))
+    for windows, ratios in tables:
+        at = _find(windows, keys)
+        ratio[at >= 0] = ratios[at[at >= 0]]
     return np.bincount(word, ratio, len(words)), np.bincount(word, minlength=len(words))
 
 
-def features(model: Model, texts: pa.Array) -> np.ndarray:
+def features(tables: list[Table], texts: pa.Array) -> np.ndarray:
     """Per text the columns of :data:`FEATURES`."""
     words, places, starts = numbered_words(texts)
     out = np.zeros((len(texts), len(FEATURES)))
     if not len(places):
         return out
-    ratio, size = word_ratios(model, words)
+    ratio, size = word_ratios(tables, words)
     out[:, 0] = summed(ratio[places], starts) / np.maximum(1, summed(size[places], starts))
     # The other features are of a text's different words, so that repeated lines do not count again.
     doc = np.repeat(np.arange(len(texts)), np.diff(starts))
@@ -159,10 +210,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def score_of(model: Model, found: np.ndarray) -> np.ndarray:
-    if model.curve is None:
-        return np.zeros(len(found))
-    return 1 / (1 + np.exp(-np.clip(model.curve[0] + found @ model.curve[1:], -40, 40)))
+def score_of(curve: np.ndarray, found: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve[0] + found @ curve[1:], -40, 40)))
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, held_out: int, folds: int) -> DataFrame:
@@ -209,35 +258,123 @@ def count_windows(rows: DataFrame) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -> Model:
-    """Count, smooth and calibrate; the curve's documents are not among the counted ones."""
-    rows = learning_rows(docs, labels, held_out, folds)
-    grams = (
-        count_windows(rows.where(~F.col("for_curve")))
-        .orderBy(F.desc(F.col("n0") + F.col("n1")), "gram")
-        .limit(MOST_GRAMS)
+def log_ratios(grams: DataFrame) -> DataFrame | None:
+    """:attr:`Model.ratios` of counted windows; none unless both classes have windows."""
+    before = F.shiftright("gram", LETTER_BITS).bitwiseAND(F.lit((1 << LETTER_BITS * SHORT) - 1))
+    shares = checkpointed(grams.repartition(before))  # a task has all windows with the same letters before the last
+
+    def whole(batches):
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if table is not None and table.num_rows:
+            gram, *n = (table[c].to_numpy() for c in ("gram", "n0", "n1"))
+            yield gram, np.stack(n, axis=1)
+
+    def survey(batches):
+        for gram, n in whole(batches):
+            what, key, times = map(pa.array, zip(*surveyed(gram, n)))
+            yield pa.RecordBatch.from_arrays([what, key, times], ["what", "key", "times"])
+
+    found = (
+        shares.mapInArrow(survey, "what bigint, key bigint, times bigint")
+        .groupBy("what", "key")
+        .agg(F.sum("times").alias("times"))
+        .orderBy("what", "key")
         .toArrow()
     )
-    counts = np.stack([grams["n0"].to_numpy(), grams["n1"].to_numpy()], axis=1).astype(float)
-    if not len(counts) or (counts.sum(axis=0) == 0).any():
-        return Model((np.zeros(0, np.int64), np.zeros(0)), (np.zeros(0, np.int64), np.zeros(0)))
-    model = smooth(grams["gram"].to_numpy(), counts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    what, key, times = (found[c].to_numpy() for c in ("what", "key", "times"))
+    if not len(what) or (times[what == ORDER + 3] == 0).any():
+        return None
+    short = smooth_short(key[what == 0], times[what == 0])
+    taken = {n: discounts(times[what == n].tolist()) for n in range(SHORT + 1, ORDER + 3)}
+    shared = grams.sparkSession.sparkContext.broadcast((short, taken))
+
+    def run(batches):
+        for gram, n in whole(batches):
+            keys, ratios = smooth(gram, n.astype(float), *shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ratios)], ["key", "ratio"])
+
+    return stored(shares.mapInArrow(run, "key bigint, ratio float"), "toxicity_ratios")
+
+
+def with_features(
+    rows: DataFrame, text: str, model: Model, change: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema
+) -> DataFrame:
+    """Slices of rows changed with the features of their texts. Columns may not be called ``_text`` or ``_rare``."""
+    windows = count_windows(rows.select(F.col(text).cast("string").alias("text"), F.lit(0).alias("toxic")))
+    seen = model.ratios.where("key >= 0").select(F.col("key").alias("gram"), F.col("ratio").alias("seen"))
+    unseen = model.ratios.where("key < 0").select(F.col("key").alias("before"), F.col("ratio").alias("unseen"))
+    found = stored(
+        windows.withColumn("before", history_key(F.shiftright("gram", LETTER_BITS)))
+        .join(seen, "gram", "left")
+        .join(unseen, "before", "left")
+        .select("gram", F.coalesce("seen", "unseen", F.lit(0.0).cast("float")).alias("ratio"), "n0"),
+        "toxicity_windows",
+    )
+    few = found.count() <= MOST_GRAMS
+    frequent = found if few else found.orderBy(F.desc("n0"), "gram").limit(MOST_GRAMS)
+    frequent = frequent.select("gram", "ratio").toArrow()
+    order = np.argsort(frequent["gram"].to_numpy())
+    table = tuple(frequent[c].to_numpy()[order] for c in ("gram", "ratio"))
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    place = rows.columns.index(text)
 
     def run(batches):
         for batch in slices(batches, 1_500, 3 << 20):
-            x = features(shared.value, batch.column(0))
-            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, x.T)], ["toxic", *FEATURES])
+            tables = [shared.value]
+            if not few:
+                rare = batch.column(batch.num_columns - 1).flatten()
+                gram, first = np.unique(rare.field("gram").to_numpy(), return_index=True)
+                tables.append((gram, rare.field("ratio").to_numpy()[first]))
+                batch = batch.select(batch.schema.names[:-1])
+            yield change(batch, features(tables, pc.cast(batch.column(place), pa.string())))
+
+    if few:
+        return rows.mapInArrow(run, schema)
+
+    def rare_windows(batches):
+        for batch in slices(batches, 1_500, 3 << 20):
+            words, places, starts = numbered_words(batch.column(1))
+            key, word = letter_windows(words, ORDER)
+            rare = _find(shared.value[0], key) < 0
+            key, word = key[rare], word[rare]
+            first, many = np.searchsorted(word, np.arange(len(words))), np.bincount(word, minlength=len(words))
+            n = many[places]
+            doc = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(starts)), n)
+            at = np.arange(n.sum()) + np.repeat(first[places] - (np.cumsum(n) - n), n)
+            of, number = np.unique(key, return_inverse=True)
+            pair = np.unique(doc * max(1, len(of)) + number[at])
+            doc, number = np.divmod(pair, max(1, len(of)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(of[number])], ["_text", "gram"])
+
+    # Equal texts share their windows, so a text's digest is key enough.
+    keyed = rows.withColumn("_text", F.unhex(F.md5(F.col(text).cast("string").cast("binary"))))
+    rare = (
+        keyed.select("_text", F.col(text).cast("string").alias("text"))
+        .mapInArrow(rare_windows, "_text binary, gram bigint")
+        .distinct()
+        .join(found.select("gram", "ratio"), "gram")
+        .groupBy("_text")
+        .agg(F.collect_list(F.struct("gram", "ratio")).alias("_rare"))
+    )
+    return keyed.join(rare, "_text", "left").select(*rows.columns, "_rare").mapInArrow(run, schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -> Model:
+    """Count, smooth and calibrate; the curve's documents are not among the counted ones."""
+    rows = learning_rows(docs, labels, held_out, folds)
+    ratios = log_ratios(count_windows(rows.where(~F.col("for_curve"))))
+    if ratios is None:
+        return Model()
+    model = Model(ratios)
+
+    def change(batch, x):
+        return pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, x.T)], ["toxic", *FEATURES])
 
     curve = rows.where("for_curve")
     n = pick(labels, doc_id="bigint").where(remainder(F.col("doc_id"), folds) != held_out).count() / CALIBRATION_SHARE
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1_000_000)) < 1e6 * min(1.0, CALIBRATION_ROWS / max(1.0, n))
-    table = (
-        curve.where(drawn)
-        .select("text", "toxic")
-        .mapInArrow(run, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
-        .toArrow()
-    )
+    curve = checkpointed(curve.where(drawn).select("text", "toxic"))
+    table = with_features(curve, "text", model, change, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
     y = table["toxic"].to_numpy()
     if len(np.unique(y)) < 2:
         return replace(model, curve=np.array([-6.0, 0.0, 1.0, 0.0, 0.0, 0.0]))
@@ -247,40 +384,33 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -
 
 def score(docs: DataFrame, model: Model, held_out: int = 1, folds: int = 3) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in slices(batches, 1_500, 3 << 20):
-            s = scores(shared.value, batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
-                ["doc_id", "score", "predicted"],
-            )
-
-    scored = pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, score double, predicted int")
+    rows, curve = pick(docs, doc_id="bigint", text="string"), model.curve
+
+    def change(batch, x):
+        s = score_of(curve, x)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
+            ["doc_id", "score", "predicted"],
+        )
+
+    if curve is None:
+        scored = rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    else:
+        scored = with_features(rows, "text", model, change, "doc_id bigint, score double, predicted int")
     out = F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
-def scores(model: Model, texts: pa.Array) -> np.ndarray:
-    if model.curve is None:
-        return np.zeros(len(texts))
-    return score_of(model, features(model, pc.cast(texts, pa.string())))
-
-
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are not predicted toxic; columns and rows are otherwise as they were."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    curve = model.curve
+    if curve is None:
+        return docs
 
-    def change(rows: DataFrame, places: dict[str, int]) -> DataFrame:
-        at = places["text"]
+    def keep(batch, x):
+        return batch.filter(pa.array(score_of(curve, x) < THRESHOLD))
 
-        def run(batches):
-            for batch in slices(batches, 1_500, 3 << 20):
-                keep = scores(shared.value, batch.column(at)) < THRESHOLD
-                if keep.any():
-                    yield batch.filter(pa.array(keep))
-
-        return rows.mapInArrow(run, rows.schema)
+    def change(rows: DataFrame, places: dict[str, int]) -> DataFrame:
+        return with_features(rows, rows.columns[places["text"]], model, keep, rows.schema)
 
     return by_position(docs, change)
