@@ -130,3 +130,10 @@ def test_windows_beyond_the_broadcast_count_all_the_same(fitted, docs, monkeypat
     small = toxicity.fit(frame, labels)
     assert np.allclose(small.curve, model.curve) and np.allclose(np.array(scores(small)), np.array(want), atol=1e-6)
     assert toxicity.accepted(texts, small).count() == kept
+
+
+def test_only_the_bounded_sample_is_left_out_of_the_counts(fitted, monkeypatch):
+    frame, labels, _ = fitted
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 20)
+    rows = toxicity.learning_rows(frame, labels, 1, 3)
+    assert 0 < rows.where("for_curve").count() < 60 and rows.count() > 500

@@ -8,8 +8,8 @@ most toxic word, on average of its three most toxic words, and the sum of what w
 beside them the log of its number of words, since the best of many is higher by chance. A logistic curve,
 fitted on labelled documents that the counts leave out, turns them into a score.
 
-The counts cover all labelled documents of the learning folds but one fifth; the curve is fitted on at most
-about ``CALIBRATION_ROWS`` documents of that fifth. All windows are kept, as a distributed table. It is dealt by
+The counts cover all labelled documents of the learning folds but those of the curve, which are one fifth and at
+most about ``CALIBRATION_ROWS``. All windows are kept, as a distributed table. It is dealt by
 the three letters before the last, so that a task smooths its share of the longer windows by itself, and the
 windows of up to three letters, bounded by the alphabet, are smoothed on the driver. For scoring, the different
 windows of the texts are joined to that table; the ``MOST_GRAMS`` most frequent ones are broadcast with their
@@ -44,7 +44,7 @@ MOST_GRAMS = 1_000_000
 CALIBRATION_ROWS = 20_000
 #: Labels up to which they are broadcast (16 MB); beyond that, documents are shuffled to them.
 MOST_BROADCAST = 1_000_000
-#: One learning document in so many is left to the curve.
+#: At most one learning document in so many is left to the curve.
 CALIBRATION_SHARE = 5
 FEATURES = ("mean", "best", "best_three", "log_mass", "log_words")
 
@@ -223,11 +223,14 @@ def learning_rows(docs: DataFrame, labels: DataFrame, held_out: int, folds: int)
         .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     )
     known = checkpointed(known)
-    few = known.count() <= MOST_BROADCAST  # else the join shuffles
+    n = known.count()
+    few = n <= MOST_BROADCAST  # else the join shuffles
     texts = pick(docs, doc_id="bigint", text="string").where(remainder(F.col("doc_id"), folds) != held_out)
     part = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / folds) % CALIBRATION_SHARE
+    share = min(1.0, CALIBRATION_ROWS * CALIBRATION_SHARE / max(1.0, n))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1_000_000)) < 1e6 * share
     rows = texts.join(F.broadcast(known) if few else known, "doc_id")
-    return rows.select("doc_id", "text", "toxic", (part == 0).alias("for_curve"))
+    return rows.select("doc_id", "text", "toxic", ((part == 0) & drawn).alias("for_curve"))
 
 
 def count_windows(rows: DataFrame) -> DataFrame:
@@ -370,10 +373,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -
     def change(batch, x):
         return pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, x.T)], ["toxic", *FEATURES])
 
-    curve = rows.where("for_curve")
-    n = pick(labels, doc_id="bigint").where(remainder(F.col("doc_id"), folds) != held_out).count() / CALIBRATION_SHARE
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1_000_000)) < 1e6 * min(1.0, CALIBRATION_ROWS / max(1.0, n))
-    curve = checkpointed(curve.where(drawn).select("text", "toxic"))
+    curve = checkpointed(rows.where("for_curve").select("text", "toxic"))
     table = with_features(curve, "text", model, change, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
     y = table["toxic"].to_numpy()
     if len(np.unique(y)) < 2:
