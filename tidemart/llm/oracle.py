@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import string
 
-from tidemart.llm import quality, urlrank
+from tidemart.llm import quality, ranked_search, urlrank
 from tidemart.llm.minhash import SIMILARITY
 from tidemart.llm.subspace import COSINE
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _LOWER = f"translate({{0}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
 
@@ -164,9 +165,36 @@ SELECT page_id, j.host, j.path, j.rule,
 FROM judged j LEFT JOIN final f ON f.host = j.host"""
 
 
+def ranked_search_sql() -> str:
+    terms = _TERMS.format(_LOWER.format("coalesce(text, '')"))
+    return f"""
+WITH t AS MATERIALIZED (SELECT doc_id, unnest({terms}) AS term FROM documents),
+l AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+total AS MATERIALIZED (SELECT count(*)::BIGINT AS docs, coalesce(sum(n), 0)::BIGINT AS terms FROM l),
+tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+w AS MATERIALIZED (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total
+),
+m AS MATERIALIZED (
+  SELECT doc_id, {100 - ranked_search.LENGTH_SHARE} + (({ranked_search.LENGTH_SHARE} * n * docs) // terms) AS m FROM l, total
+),
+q AS MATERIALIZED (SELECT item_id, unnest({terms}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, tf.doc_id, sum(w * (({ranked_search.SCALE} * tf) // (1000 * tf + {ranked_search.DAMPING} * m)))::BIGINT AS score
+  FROM q JOIN w ON w.term = q.term JOIN tf ON tf.term = q.term JOIN m ON m.doc_id = tf.doc_id
+  GROUP BY item_id, tf.doc_id
+)
+SELECT * FROM (
+  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0
+) WHERE rank <= {ranked_search.TOP}"""
+
+
 STATEMENTS: dict[str, str] = {
     "op2_minhash": minhash_sql(),
     "op5_url_rank": urlrank_sql(),
     "op7_quality_rules": quality_sql(),
     "op8_subspace_join": subspace_sql(),
+    "op12_ranked_search": ranked_search_sql(),
 }

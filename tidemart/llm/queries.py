@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemart.llm import bpe, byte_bpe, langid, minhash, packing, quality, secret_scan, subspace, token_orc, toxicity, urlrank
+from tidemart.llm import (
+    bpe,
+    byte_bpe,
+    langid,
+    minhash,
+    packing,
+    quality,
+    ranked_search,
+    secret_scan,
+    subspace,
+    token_orc,
+    toxicity,
+    urlrank,
+)
 from tidemart.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +82,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(documents(spark, sf_dir))
