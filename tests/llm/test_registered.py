@@ -19,7 +19,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11), 12, 13]
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 14)]
 
 
 def smallest_of_near_copies(docs) -> set[int]:

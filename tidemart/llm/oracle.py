@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from tidemart.llm import quality, ranked_search, urlrank
+from tidemart.llm import hard_negatives, quality, ranked_search, urlrank
 from tidemart.llm.minhash import SIMILARITY
 from tidemart.llm.subspace import COSINE
 
@@ -191,10 +191,36 @@ SELECT * FROM (
 ) WHERE rank <= {ranked_search.TOP}"""
 
 
+def hard_negatives_sql() -> str:
+    h = hard_negatives
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({h.SCALE} * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {h.POSITIVES}
+)
+SELECT anchor_id, positive_id,
+  (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.id))::INTEGER AS rank,
+  n.id AS negative_id, positive_score, n.score AS negative_score
+FROM positives JOIN pairs n USING (anchor_id)
+WHERE NOT n.same AND {h.LEAST} * positive_score <= 100 * n.score AND 100 * n.score <= {h.MOST} * positive_score
+QUALIFY rank <= {h.NEGATIVES}"""
+
+
 STATEMENTS: dict[str, str] = {
     "op2_minhash": minhash_sql(),
     "op5_url_rank": urlrank_sql(),
     "op7_quality_rules": quality_sql(),
     "op8_subspace_join": subspace_sql(),
+    "op11_hard_negatives": hard_negatives_sql(),
     "op12_ranked_search": ranked_search_sql(),
 }

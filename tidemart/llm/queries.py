@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemart.llm import (
     bpe,
     byte_bpe,
+    hard_negatives,
     langid,
     minhash,
     packing,
@@ -82,6 +83,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.relabelled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hard_negatives.mine(vectors, hard_negatives.every_hundredth())
+
+
 @query
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
