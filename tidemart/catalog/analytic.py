@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemart.catalog.relational import d, order_columns
+from tidemart.catalog.relational import d
 from tidemart.functions import scalars as fn
 from tidemart.models import anomaly, churn, forecast, segments
 from tidemart.operators import series
@@ -16,13 +16,10 @@ from tidemart.plans import overview, quality, semantic
 from tidemart.plans.layers import Warehouse
 from tidemart.search import bm25
 from tidemart.session import materialise, scratch_dir, tune
-from tidemart.sources import documents, landing
-from tidemart.sources.driver_tables import raw_orders, read_table
-from tidemart.streaming import ingest
+from tidemart.sources.driver_tables import read_table
 
 QUERIES = {}
 
-LANDING_DATE = dt.date(2001, 8, 1)
 NONE: frozenset[str] = frozenset()
 ITEMS = frozenset({"item_count"})
 
@@ -43,27 +40,7 @@ def source_query(f):
     return f
 
 
-# --- ingest streams and documents
-
-
-@source_query
-def s7_auto_ingest(spark, sf_dir):
-    """Land one date, ingest it by stream, run the stream again: nothing is loaded twice."""
-    root, raw, checkpoint = (scratch_dir(spark, p) for p in ("landing", "raw", "stream"))
-    landing.write_landing(raw_orders(spark, sf_dir), "orders", root, LANDING_DATE)
-    for _ in range(2):
-        ingest.start_ingest(spark, "orders", root, raw, checkpoint).awaitTermination()
-    return ingest.read_raw(spark, "orders", raw).select(*order_columns())
-
-
-@source_query
-def s15_document_load(spark, sf_dir):
-    """Front matter and body of whole files, here rendered from the document table."""
-    header = F.format_string("---\ntitle: \"Text %d\"\ncategory: %s\nupdated_at: 2001-08-01\n---\n", "doc_id", "source")
-    files = read_table(spark, sf_dir, "documents").select(
-        F.format_string("doc-%d.md", "doc_id").alias("file_name"), F.concat(header, "text").alias("value")
-    )
-    return documents.parse_documents(files)
+# --- documents
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Independent SQL for the registered queries, over the same Parquet tables.
 
-The common table expressions spell the layers out in their literal form (customers x snapshots,
-LAG over the whole key, quantile functions), not in the form the Spark plans use.
+The common table expressions spell the layers out in another form than the Spark plans use: snapshots meet the
+customers' order days by a range join, LAG runs over the whole key, quantiles are functions.
 """
 
 from __future__ import annotations
@@ -80,31 +80,32 @@ daily_sales AS (
   SELECT order_date, channel, sum(order_amount) AS total_amount FROM stg_orders GROUP BY order_date, channel),
 revenue AS (
   SELECT product_id, sum(quantity * unit_price) AS revenue FROM fact_items GROUP BY product_id),
-top_products AS (SELECT product_id, revenue FROM revenue ORDER BY revenue DESC, product_id LIMIT 20),
+best_sellers AS (SELECT product_id, revenue FROM revenue ORDER BY revenue DESC, product_id LIMIT 20),
 demand AS (
   SELECT order_date, product_id, CAST(sum(quantity) AS BIGINT) AS quantity_sold
-  FROM fact_items WHERE product_id IN (SELECT product_id FROM top_products) GROUP BY order_date, product_id),
-snapshots AS (
-  SELECT CAST(unnest(generate_series(
-    (SELECT CAST(min(signup_date) + 180 AS TIMESTAMP) FROM dim_customer),
-    (SELECT CAST(d - 30 AS TIMESTAMP) FROM as_of), INTERVAL 30 DAY)) AS DATE) AS snapshot_date),
-base AS (
-  SELECT c.*, s.snapshot_date FROM dim_customer c CROSS JOIN snapshots s
-  WHERE c.signup_date <= s.snapshot_date AND (c.churn_date IS NULL OR c.churn_date > s.snapshot_date)),
-order_stats AS (
-  SELECT b.customer_id, b.snapshot_date,
-    count(*) FILTER (WHERE o.order_date > b.snapshot_date - 90 AND o.order_date <= b.snapshot_date) AS frequency_90d,
-    coalesce(sum(o.order_amount) FILTER (WHERE o.order_date > b.snapshot_date - 90 AND o.order_date <= b.snapshot_date), 0) AS monetary_90d,
-    max(o.order_date) FILTER (WHERE o.order_date <= b.snapshot_date) AS last_order_date
-  FROM base b LEFT JOIN stg_orders o ON o.customer_id = b.customer_id
-  GROUP BY b.customer_id, b.snapshot_date),
+  FROM fact_items WHERE product_id IN (SELECT product_id FROM best_sellers) GROUP BY order_date, product_id),
+eligible AS (
+  SELECT c.*, CAST(unnest(generate_series(
+    CAST(first_day AS TIMESTAMP), CAST(last_day AS TIMESTAMP), INTERVAL 30 DAY)) AS DATE) AS snapshot_date
+  FROM dim_customer c, (SELECT (SELECT min(signup_date) + 180 FROM dim_customer) AS first_day, d - 30 AS last_day FROM as_of)),
+grid AS (
+  SELECT * FROM eligible WHERE signup_date <= snapshot_date AND coalesce(churn_date > snapshot_date, TRUE)),
+customer_days AS (
+  SELECT customer_id, order_date, count(*) AS n, sum(order_amount) AS amount FROM stg_orders GROUP BY customer_id, order_date),
+spend AS (
+  SELECT g.customer_id, g.snapshot_date, max(t.order_date) AS last_order_date,
+    sum(CASE WHEN t.order_date > g.snapshot_date - 90 THEN n ELSE 0 END) AS frequency_90d,
+    sum(CASE WHEN t.order_date > g.snapshot_date - 90 THEN amount ELSE 0 END) AS monetary_90d
+  FROM grid g JOIN customer_days t ON t.customer_id = g.customer_id AND t.order_date <= g.snapshot_date
+  GROUP BY g.customer_id, g.snapshot_date),
 features AS MATERIALIZED (
-  SELECT customer_id, snapshot_date, CAST(snapshot_date - last_order_date AS BIGINT) AS recency_days,
-    CAST(frequency_90d AS BIGINT) AS frequency_90d, CAST(round(monetary_90d, 2) AS DOUBLE) AS monetary_90d,
+  SELECT g.customer_id, g.snapshot_date, CAST(g.snapshot_date - last_order_date AS BIGINT) AS recency_days,
+    CAST(coalesce(frequency_90d, 0) AS BIGINT) AS frequency_90d,
+    CAST(round(coalesce(monetary_90d, 0), 2) AS DOUBLE) AS monetary_90d,
     round(CAST(monetary_90d AS DOUBLE) / nullif(frequency_90d, 0), 6) AS avg_order_value,
-    CAST(snapshot_date - signup_date AS BIGINT) AS tenure_days, plan_type, region,
-    coalesce(churn_date > snapshot_date AND churn_date <= snapshot_date + 30, FALSE) AS churned_next_30d
-  FROM base JOIN order_stats USING (customer_id, snapshot_date)),
+    CAST(g.snapshot_date - signup_date AS BIGINT) AS tenure_days, plan_type, region,
+    coalesce(churn_date BETWEEN g.snapshot_date + 1 AND g.snapshot_date + 30, FALSE) AS churned_next_30d
+  FROM grid g LEFT JOIN spend s ON s.customer_id = g.customer_id AND s.snapshot_date = g.snapshot_date),
 latest AS (SELECT * FROM features WHERE snapshot_date = (SELECT max(snapshot_date) FROM features)),
 item_avgs AS (
   SELECT order_id, round(avg(CAST(unit_price AS DOUBLE)), 6) AS avg_unit_price,
@@ -181,6 +182,29 @@ GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10"""
 
 _STATUS_CHANGED = "CASE WHEN channel = '5-LOW' THEN 'X' ELSE status END"
 
+_RAW = {
+    "customers": "raw_customers",
+    "subscriptions": "raw_subs",
+    "products": "raw_products",
+    "orders": "raw_orders",
+    "order_items": "raw_items",
+}
+_STAGED = {t: c.replace("raw_", "stg_") for t, c in _RAW.items()}
+_STORED = {
+    **{f"raw.{t}": c for t, c in _RAW.items()},
+    **{f"staging.{t}": c for t, c in _STAGED.items()},
+    "dwh.dim_customer": "dim_customer",
+    "dwh.dim_product": "stg_products",
+    "dwh.dim_date": "dim_date",
+    "dwh.fact_orders": "stg_orders",
+    "dwh.fact_order_items": "fact_items",
+    "dwh.fact_subscription_events": "fact_events",
+    "mart.daily_sales": "daily_sales",
+    "mart.daily_product_demand": "demand",
+    "mart.customer_features": "features",
+    "mart.order_transaction_features": "order_features",
+}
+
 SQL: dict[str, str] = {
     "s1_parquet_scan": "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice FROM orders",
     "s4_landing_write": f"SELECT {ORDER_COLUMNS}, DATE '2001-08-01' AS run_date FROM raw_orders",
@@ -193,34 +217,46 @@ UNION ALL SELECT 'subscriptions', count(*) FROM raw_subs
 UNION ALL SELECT 'products', count(*) FROM raw_products
 UNION ALL SELECT 'orders', count(*) FROM raw_orders
 UNION ALL SELECT 'order_items', count(*) FROM raw_items""",
-    "s7_auto_ingest": f"SELECT {ORDER_COLUMNS} FROM raw_orders",
-    "s8_copy_by_name": (
-        "SELECT order_id, customer_id, order_date, channel, CAST(order_amount AS DOUBLE) AS order_amount, item_count, status "
-        "FROM raw_orders"
+    "s7_auto_ingest": f"SELECT {ORDER_COLUMNS.replace('status', f'{_STATUS_CHANGED} AS status')} FROM raw_orders",
+    "s7_ingest_ledger": "\nUNION ALL ".join(
+        f"SELECT '{t}' AS table_name, DATE '2001-08-01' AS run_date, count(*) AS ledger_rows, count(*) AS raw_rows FROM {c}"
+        for t, c in _RAW.items()
+    ),
+    "s5_publish_contract": "\nUNION ALL ".join(
+        f"SELECT '{t}' AS table_name, FALSE AS without_store, FALSE AS unreachable, TRUE AS published, count(*) AS n_rows FROM {c}"
+        for t, c in _RAW.items()
+    ),
+    "s9_bulk_load_raw": "\nUNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {c}" for t, c in _RAW.items()),
+    "s9_bulk_load_raw_orders": f"SELECT {ORDER_COLUMNS} FROM raw_orders",
+    "s14_namespaces": "\nUNION ALL ".join(
+        f"SELECT '{layer}' AS namespace, '{t}' AS table_name, count(*) AS n_rows FROM {c}"
+        for layer, t, c in [
+            *(("raw", t, c) for t, c in _RAW.items()),
+            ("staging", "customers", "stg_customers"),
+            ("staging", "products", "stg_products"),
+            ("dwh", "dim_customer", "dim_customer"),
+            ("dwh", "dim_product", "stg_products"),
+        ]
     ),
+    "s8_copy_by_name": f"SELECT {ORDER_COLUMNS} FROM raw_orders",
     "s10_ctas_replace": "SELECT order_date, channel, CAST(total_amount AS DOUBLE) AS total_amount FROM daily_sales",
-    "s11_ctas_if_absent": "SELECT order_id, order_date, CAST(order_amount AS DOUBLE) AS order_amount FROM stg_orders",
-    "s12_partitioned_clustered_write": """
-SELECT order_id, customer_id, order_date, channel, CAST(order_amount AS DOUBLE) AS order_amount, status
-FROM stg_orders WHERE date_trunc('month', order_date) >= DATE '1997-01-01'""",
+    "s11_ctas_if_absent": f"SELECT {ORDER_COLUMNS} FROM stg_orders",
+    "s12_partitioned_clustered_write": (
+        f"SELECT {ORDER_COLUMNS} FROM stg_orders WHERE order_date BETWEEN DATE '1997-01-15' AND DATE '1999-12-31'"
+    ),
+    "s12_bucketed_join": """
+SELECT order_item_id, i.order_id, i.order_date, product_id, quantity, channel, CAST(order_amount AS DOUBLE) AS order_amount
+FROM fact_items i JOIN stg_orders o ON o.order_id = i.order_id""",
     "s13_model_input_view": (
         f"SELECT {FEATURES}, churned_next_30d FROM features WHERE snapshot_date <= (SELECT d - 30 FROM as_of)"
     ),
     "s16_table_read": (
         "SELECT order_date, CAST(total_amount AS DOUBLE) AS total_amount FROM daily_sales WHERE channel = '1-URGENT'"
     ),
-    "s17_mart_refresh": """
-SELECT 'staging.customers' AS table_name, count(*) AS n_rows FROM stg_customers
-UNION ALL SELECT 'staging.subscriptions', count(*) FROM stg_subs
-UNION ALL SELECT 'staging.products', count(*) FROM stg_products
-UNION ALL SELECT 'staging.orders', count(*) FROM stg_orders
-UNION ALL SELECT 'staging.order_items', count(*) FROM stg_items
-UNION ALL SELECT 'dwh.dim_customer', count(*) FROM dim_customer
-UNION ALL SELECT 'dwh.dim_product', count(*) FROM stg_products
-UNION ALL SELECT 'dwh.fact_orders', count(*) FROM stg_orders
-UNION ALL SELECT 'dwh.fact_order_items', count(*) FROM fact_items
-UNION ALL SELECT 'dwh.fact_subscription_events', count(*) FROM fact_events
-UNION ALL SELECT 'mart.daily_sales', count(*) FROM daily_sales""",
+    "s17_daily_sales": "SELECT order_date, channel, CAST(total_amount AS DOUBLE) AS total_amount FROM daily_sales",
+    "s17_daily_product_demand": "SELECT order_date, product_id, quantity_sold FROM demand",
+    "s17_customer_features": f"SELECT {FEATURES}, churned_next_30d FROM features",
+    "s17_order_transaction_features": "SELECT * FROM order_features",
     "p1_column_projection": "SELECT customer_id, region, plan_type, signup_date, churn_date, is_active FROM dim_customer",
     "p2_drop_internal_columns": f"SELECT {ORDER_COLUMNS} FROM raw_orders",
     "p3_not_null_filter": "SELECT customer_id, signup_date FROM raw_customers WHERE customer_id IS NOT NULL AND signup_date IS NOT NULL",
@@ -264,13 +300,13 @@ FROM fact_items""",
         "FROM stg_orders LEFT JOIN item_avgs USING (order_id)"
     ),
     "j4_left_join_then_conditional_agg": "SELECT customer_id, snapshot_date, frequency_90d, monetary_90d FROM features",
-    "j5_eligible_snapshots": "SELECT customer_id, snapshot_date FROM base",
-    "j6_two_key_self_join": (
-        "SELECT a.customer_id, a.snapshot_date, a.tenure_days, b.churned_next_30d AS churns FROM features a "
-        "JOIN features b ON a.customer_id = b.customer_id AND a.snapshot_date = b.snapshot_date WHERE b.churned_next_30d"
-    ),
+    "j5_eligible_snapshots": "SELECT customer_id, snapshot_date FROM grid",
+    "j6_two_key_self_join": """
+SELECT a.customer_id, a.snapshot_date, CAST(a.snapshot_date - a.signup_date AS BIGINT) AS tenure_days, TRUE AS churns
+FROM grid a JOIN grid b ON b.customer_id = a.customer_id AND b.snapshot_date = a.snapshot_date
+WHERE b.churn_date BETWEEN b.snapshot_date + 1 AND b.snapshot_date + 30""",
     "j7_left_semi": (
-        "SELECT order_item_id, product_id, quantity FROM fact_items WHERE product_id IN (SELECT product_id FROM top_products)"
+        "SELECT order_item_id, product_id, quantity FROM fact_items WHERE product_id IN (SELECT product_id FROM best_sellers)"
     ),
     "j8_left_anti": (
         "SELECT order_id, customer_id FROM stg_orders o WHERE NOT EXISTS (SELECT 1 FROM stg_items i WHERE i.order_id = o.order_id)"
@@ -279,7 +315,7 @@ FROM fact_items""",
 SELECT order_date, product_id, coalesce(name, product_id) AS product_name, quantity_sold
 FROM demand LEFT JOIN (SELECT product_id, name FROM stg_products WHERE category <> 'PROMO') USING (product_id)""",
     "j10_map_lookup": f"SELECT customer_id, CAST({_MRR.replace('c_mktsegment', 'plan_type')} AS DOUBLE) AS mrr FROM dim_customer",
-    "j11_as_of_last": "SELECT customer_id, snapshot_date, last_order_date FROM order_stats",
+    "j11_as_of_last": "SELECT customer_id, snapshot_date, last_order_date FROM grid LEFT JOIN spend USING (customer_id, snapshot_date)",
     "j12_set_disjoint_check": (
         "SELECT count(*) AS overlap FROM features JOIN dim_customer USING (customer_id) WHERE churn_date <= snapshot_date"
     ),
@@ -338,7 +374,7 @@ FROM (SELECT total, row_number() OVER (ORDER BY order_date) AS r, count(*) OVER
     "w7_contamination_cutoff": """
 SELECT order_id, CAST(order_amount AS DOUBLE) AS order_amount FROM stg_orders
 WHERE CAST(order_amount AS DOUBLE) > (SELECT quantile_cont(CAST(order_amount AS DOUBLE), 0.985) FROM stg_orders)""",
-    "t1_top_products": "SELECT product_id, CAST(revenue AS DOUBLE) AS revenue FROM top_products",
+    "t1_top_products": "SELECT product_id, CAST(revenue AS DOUBLE) AS revenue FROM best_sellers",
     "t4_total_order": "SELECT order_date, channel, CAST(total_amount AS DOUBLE) AS total_amount FROM daily_sales ORDER BY 1, 2",
     "t5_top_demand_30d": """
 SELECT product_id, CAST(sum(quantity) AS BIGINT) AS total_quantity FROM fact_items
@@ -436,13 +472,12 @@ FROM features WHERE region = 'ASIA' GROUP BY 1, 2""",
         "SELECT CAST(coalesce(sum(quantity_sold), 0) AS BIGINT) AS demand_last_days FROM demand "
         "WHERE order_date > (SELECT max(order_date) - 30 FROM demand)"
     ),
-    "q12_qc_row_counts": """
-SELECT table_name, loaded_rows, source_rows, loaded_rows = source_rows AS matches FROM (
-  SELECT 'customers' AS table_name, (SELECT count(*) FROM stg_customers) AS loaded_rows, (SELECT count(*) FROM raw_customers) AS source_rows
-  UNION ALL SELECT 'subscriptions', (SELECT count(*) FROM stg_subs), (SELECT count(*) FROM raw_subs)
-  UNION ALL SELECT 'products', (SELECT count(*) FROM stg_products), (SELECT count(*) FROM raw_products)
-  UNION ALL SELECT 'orders', (SELECT count(*) FROM stg_orders), (SELECT count(*) FROM raw_orders)
-  UNION ALL SELECT 'order_items', (SELECT count(*) FROM stg_items), (SELECT count(*) FROM raw_items))""",
+    "q12_qc_row_counts": "\nUNION ALL ".join(
+        f"SELECT '{layer}' AS layer, '{t}' AS table_name, l.n AS loaded_rows, s.n AS source_rows, l.n = s.n AS matches "
+        f"FROM (SELECT count(*) AS n FROM {loaded}) l, (SELECT count(*) AS n FROM {_RAW[t]}) s"
+        for layer, tables in (("raw", _RAW), ("staging", _STAGED))
+        for t, loaded in tables.items()
+    ),
     "q13_qc_profile": "\nUNION ALL ".join(
         f"SELECT '{c}' AS column_name, round(avg(CAST({e} IS NULL AS INT)), 6) AS null_rate, "
         f"CAST(min({e}) AS VARCHAR) AS min_value, CAST(max({e}) AS VARCHAR) AS max_value FROM raw_orders"
@@ -489,7 +524,8 @@ FROM (SELECT plan_type AS cluster_id, count(*) AS size, row_number() OVER (ORDER
       FROM latest GROUP BY plan_type)""",
     "s15_document_load": """
 SELECT 'doc-' || doc_id AS doc_id, 'Text ' || doc_id AS title, source AS category,
-  regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS content, DATE '2001-08-01' AS updated_at
+  regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS content,
+  CASE WHEN doc_id % 100 <> 7 THEN DATE '2001-08-01' END AS updated_at
 FROM documents""",
     "q10_document_search": _bm25(["in", "from", "ertion"], "source = 'src1'"),
     "q10_document_search_all": _bm25(["für", "anre", "hation", "del"], "TRUE"),
@@ -504,6 +540,17 @@ SELECT order_id, CASE WHEN status <> 'F' THEN 'X' ELSE status END AS status,
 }
 
 
+def _refresh_counts(layers: str, refresh: str) -> str:
+    """Rows of all stored tables after one refresh, in a WITH of its own."""
+    counts = "\nUNION ALL ".join(
+        f"SELECT '{refresh}' AS refresh, '{name}' AS table_name, count(*) AS n_rows FROM {cte}" for name, cte in _STORED.items()
+    )
+    return f"SELECT * FROM (WITH {layers.strip()}\n{counts})"
+
+
 def statements() -> dict[str, str]:
     """Complete statements: the layers followed by each query's own SELECT."""
-    return {name: f"WITH {LAYERS.strip()}\n{sql.strip()}" for name, sql in SQL.items()}
+    out = {name: f"WITH {LAYERS.strip()}\n{sql.strip()}" for name, sql in SQL.items()}
+    first = LAYERS.replace("ON o_orderkey = l_orderkey),\nraw_items", "ON o_orderkey = l_orderkey\n  WHERE o_orderstatus = 'F'),\nraw_items")
+    out["s17_mart_refresh"] = f"{_refresh_counts(first, 'first')}\nUNION ALL\n{_refresh_counts(LAYERS, 'second')}"
+    return out

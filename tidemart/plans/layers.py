@@ -7,8 +7,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemart.functions.scalars import DateLike, as_date
+from tidemart.functions.scalars import DateLike
 from tidemart.plans import dwh, marts, staging
+from tidemart.plans.steps import STEPS, in_order
 from tidemart.schemas import RAW_COLUMNS
 from tidemart.sources.driver_tables import ALL_LOOKUPS, RawTables, raw_tables
 
@@ -135,28 +136,13 @@ def load_raw(spark: SparkSession, tables: dict[str, DataFrame], prefix: str = ""
 
 
 def build_layers(spark: SparkSession, as_of: DateLike, prefix: str = "") -> list[str]:
-    """Rebuild STAGING, DWH and MART from the RAW tables, each layer from the stored one below."""
-    read = lambda name: read_layer_table(spark, name, prefix)
-    steps = {f"staging.{t}": (lambda t=t: staging.clean(read(f"raw.{t}"), t)) for t in RAW_COLUMNS}
-    steps |= {
-        "dwh.dim_customer": lambda: dwh.dim_customer(read("staging.customers")),
-        "dwh.dim_product": lambda: dwh.dim_product(read("staging.products")),
-        "dwh.dim_date": lambda: dwh.dim_date(
-            dwh.days_until(F.col("order_date"), as_date(as_of), read("staging.orders"))
-        ),
-        "dwh.fact_orders": lambda: dwh.fact_orders(read("staging.orders")),
-        "dwh.fact_order_items": lambda: dwh.fact_order_items(read("staging.order_items"), read("staging.orders")),
-        "dwh.fact_subscription_events": lambda: dwh.fact_subscription_events(read("staging.subscriptions")),
-        "mart.daily_sales": lambda: marts.daily_sales(read("dwh.fact_orders")),
-        "mart.daily_product_demand": lambda: marts.daily_product_demand(read("dwh.fact_order_items")),
-        "mart.customer_features": lambda: marts.customer_features(
-            read("dwh.dim_customer"), read("dwh.fact_orders"), as_of
-        ),
-        "mart.order_transaction_features": lambda: marts.order_transaction_features(
-            read("dwh.fact_orders"), read("dwh.fact_order_items")
-        ),
-    }
+    """Rebuild STAGING, DWH and MART from the RAW tables, each layer from the stored one below.
+
+    Tables are replaced one by one; :class:`tidemart.plans.store.LayerStore` swaps all at once.
+    """
     create_namespaces(spark, prefix)
-    for name, frame in steps.items():
-        save_table(frame(), name, prefix)
-    return list(steps)
+    order = in_order(STEPS)
+    for name in order:
+        step = STEPS[name]
+        save_table(step.frame(as_of, *[read_layer_table(spark, i, prefix) for i in step.inputs]), name, prefix)
+    return order

@@ -29,11 +29,13 @@ def parse_documents(files: DataFrame) -> DataFrame:
     )
 
 
-def load_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """All Markdown files of a folder in one job."""
-    files = (
-        spark.read.option("pathGlobFilter", "*.md")
-        .text(folder, wholetext=True)
-        .select(F.col("_metadata.file_name").alias("file_name"), "value")
-    )
-    return parse_documents(files).select(*DOCUMENT_SCHEMA.names)
+def load_documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
+    """All Markdown files of a folder in one job; the id is the file's name, or ``<id>`` of a folder ``doc_id=<id>``."""
+    files = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    name = F.col("doc_id").cast("string") if "doc_id" in files.columns else F.col("_metadata.file_name")
+    return parse_documents(files.select(name.alias("file_name"), "value")).select(*DOCUMENT_SCHEMA.names)
+
+
+def write_documents(files: DataFrame, folder: str) -> None:
+    """One file a row of (doc_id, value), in a folder ``doc_id=<id>`` each."""
+    files.select("doc_id", "value").write.partitionBy("doc_id").text(folder)
