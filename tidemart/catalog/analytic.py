@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemart.catalog.relational import d
 from tidemart.functions import scalars as fn
-from tidemart.models import anomaly, churn, forecast, segments
+from tidemart.models import anomaly, churn, forecast, registry, segments
 from tidemart.operators import series
 from tidemart.operators.quantile import top_fraction_cut
 from tidemart.plans import overview, quality, semantic
@@ -58,18 +58,36 @@ def q10_document_search_all(spark, sf_dir):
     return bm25.search(_corpus(spark, sf_dir), "Für, anre; hation del")
 
 
-@source_query
-def q11_search_index_refresh(spark, sf_dir):
-    """Index a corpus with outdated texts, refresh the changed documents, search."""
+def _streamed_index(spark: SparkSession, sf_dir: str) -> bm25.SearchIndex:
+    """Documents arrive as files, a third of them with outdated texts, and once more with their texts of today."""
     docs = _corpus(spark, sf_dir)
     changed = F.pmod("doc_id", F.lit(3)) == 0
     old = docs.withColumn("content", F.when(changed, F.lit("in from ertion in")).otherwise(F.col("content")))
+    arriving, checkpoint = scratch_dir(spark, "arriving"), scratch_dir(spark, "stream")
     index = bm25.SearchIndex(spark, scratch_dir(spark, "index"), attributes=("source",))
-    index.refresh(old, version=0)
-    index.refresh(docs.where(changed), version=1)
+    for batch in (old, docs.where(changed)):
+        batch.write.mode("append").parquet(arriving)
+        index.refresh_stream(spark.readStream.schema(docs.schema).parquet(arriving), checkpoint).awaitTermination()
+    return index
+
+
+@source_query
+def q11_search_index_refresh(spark, sf_dir):
+    """An index kept by a stream, merged, then searched."""
+    index = _streamed_index(spark, sf_dir)
+    index.compact()
     return index.search("in from ertion", attributes={"source": "src1"}).select("doc_id", "score")
 
 
+@source_query
+def q11_search_index_deletes(spark, sf_dir):
+    """A fifth of the documents is deleted from the index."""
+    index = _streamed_index(spark, sf_dir)
+    gone = _corpus(spark, sf_dir).where(F.pmod("doc_id", F.lit(5)) == 0)
+    index.refresh(gone.limit(0), deleted=gone.select("doc_id"))
+    return index.search("in from ertion").select("doc_id", "score")
+
+
 @source_query
 def q16_qc_corpus(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
@@ -120,6 +138,26 @@ def ts10_warehouse_forecast(w):
     return forecast.forecast(forecast.fit(_sales(w)), horizon=60, level=0.95)
 
 
+@query()
+def ts11_holiday_forecast(w):
+    """Channels fitted with year-end days as holidays; facts of each forecast of 60 days."""
+    sales = _sales(w)
+    span = sales.agg(F.min("ds").alias("a"), F.date_add(F.max("ds"), 60).alias("b"))
+    days = span.select(F.explode(F.sequence("a", "b")).alias("date"))
+    names = F.when(F.date_format("date", "MM-dd") == "12-25", "christmas").when(F.dayofmonth("date") == 15, "mid month")
+    holidays = days.select("date", names.alias("holiday")).where("holiday IS NOT NULL")
+    models = forecast.fit(sales, holidays)
+    ahead = forecast.forecast(models, 60, holidays=holidays).join(models.select("series_id", "holidays"), "series_id")
+    ordered = (F.col("p10") <= F.col("value")) & (F.col("value") <= F.col("p90")) & (F.col("p10") >= 0)
+    return ahead.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n_days"),
+        F.min("ds").alias("first_ds"),
+        F.max("ds").alias("last_ds"),
+        F.array_join(F.first("holidays"), ",").alias("holidays"),
+        F.bool_and(ordered).alias("ordered"),
+    )
+
+
 @query()
 def p14_series_lookup_guard(w):
     """Without a key the first series is taken."""
@@ -208,6 +246,35 @@ def m12_model_persistence(w):
     return churn.score(churn.load(path), w.latest_features).select("customer_id", "churn_probability")
 
 
+@query(ITEMS)
+def m12_model_registry(w):
+    """All five models saved twice and loaded by name: rows scored, and how many scores differ from the model's own."""
+    spark = w.fact_orders.sparkSession
+    models = registry.ModelRegistry(spark, scratch_dir(spark, "models"))
+    orders, latest = materialise(w.order_features, "orders"), materialise(w.latest_features, "latest")
+    ahead = lambda horizon: lambda m: forecast.forecast(m, horizon).select(F.concat_ws("|", "series_id", "ds").alias("k"), "value")
+    cases = {
+        "churn_model": ("churn", churn.fit(w.customer_features), lambda m: churn.score(m, latest).select("customer_id", "churn_probability")),
+        "customer_segments_model": ("segments", segments.train(latest), lambda m: segments.assign(m, latest).select("customer_id", "cluster_id")),
+        "anomaly_model": (
+            "forest",
+            materialise(anomaly.grow_forest(orders), "forest"),
+            lambda m: anomaly.isolation_scores(orders, m).select("order_id", "isolation"),
+        ),
+        "sales_forecast_model": ("forecast", materialise(forecast.fit(_sales(w)), "sales"), ahead(forecast.SALES_HORIZON)),
+        "demand_forecast_model": ("forecast", materialise(forecast.fit(_demand(w)), "demand"), ahead(forecast.DEMAND_HORIZON)),
+    }
+    rows = []
+    for name, (kind, model, scores) in cases.items():
+        for _ in range(2):
+            version = models.save(name, kind, model)
+        own, loaded = (scores(m).toDF("k", "v") for m in (model, models.load(name)))
+        both = own.join(loaded.toDF("k", "w"), "k", "full")
+        differ = F.count_if(~F.col("v").eqNullSafe(F.col("w")))
+        rows.append(both.agg(F.count(F.lit(1)).alias("n_rows"), differ.alias("n_different")).select(F.lit(name).alias("model"), F.lit(version).cast("bigint").alias("version"), "n_rows", "n_different"))
+    return quality.union_all(rows)
+
+
 # --- segments
 
 

@@ -168,14 +168,14 @@ FROM (
   GROUP BY ALL)"""
 
 
-def _bm25(terms: list[str], where: str) -> str:
-    """Ranked search over exploded words."""
+def _bm25(terms: list[str], where: str, live: str = "TRUE") -> str:
+    """Ranked search over exploded words of the documents that are live."""
     listed = ", ".join(f"'{t}'" for t in terms)
     return f"""
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))), 9) AS score
-FROM (SELECT doc_id, word, count(*) AS tf FROM words WHERE word IN ({listed}) GROUP BY doc_id, word)
-JOIN (SELECT word, count(DISTINCT doc_id) AS df FROM words GROUP BY word) USING (word)
-JOIN lengths USING (doc_id), (SELECT count(*) AS n, avg(len) AS mean_len FROM lengths)
+FROM (SELECT doc_id, word, count(*) AS tf FROM words WHERE word IN ({listed}) AND {live} GROUP BY doc_id, word)
+JOIN (SELECT word, count(DISTINCT doc_id) AS df FROM words WHERE {live} GROUP BY word) USING (word)
+JOIN lengths USING (doc_id), (SELECT count(*) AS n, avg(len) AS mean_len FROM lengths WHERE {live})
 WHERE {where}
 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10"""
 
@@ -463,6 +463,25 @@ WHERE order_date >= (SELECT d - 30 FROM as_of) GROUP BY product_id ORDER BY tota
 SELECT CAST(date_trunc('year', snapshot_date) AS DATE) AS period, plan_type, round(sum(monetary_90d), 2) AS sum_monetary_90d,
   max(frequency_90d) AS max_frequency_90d
 FROM features WHERE region = 'ASIA' GROUP BY 1, 2""",
+    "q4_metric_ranges": """
+SELECT CAST(date_trunc('quarter', snapshot_date) AS DATE) AS period, region, churned_next_30d,
+  round(sum(monetary_90d), 2) AS sum_monetary_90d, max(monetary_90d) AS max_monetary_90d,
+  count(DISTINCT customer_id) AS distinct_customer_id, count(*) AS count_all
+FROM features
+WHERE region IN ('ASIA', 'EUROPE') AND snapshot_date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' AND tenure_days >= 200
+GROUP BY 1, 2, 3""",
+    "ts11_holiday_forecast": """
+SELECT series_id, CAST(60 AS BIGINT) AS n_days, max(ds) + 1 AS first_ds, max(ds) + 60 AS last_ds,
+  CASE WHEN bool_or(month(ds) = 12 AND day(ds) = 25) THEN 'christmas,' ELSE '' END
+    || CASE WHEN bool_or(day(ds) = 15) THEN 'mid month' ELSE '' END AS holidays, TRUE AS ordered
+FROM sales_series GROUP BY series_id HAVING count(*) >= 28""",
+    "m12_model_registry": """
+SELECT model, CAST(2 AS BIGINT) AS version, CAST(n AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM (
+  SELECT 'churn_model' AS model, (SELECT count(*) FROM latest) AS n
+  UNION ALL SELECT 'customer_segments_model', (SELECT count(*) FROM latest)
+  UNION ALL SELECT 'anomaly_model', (SELECT count(*) FROM order_features)
+  UNION ALL SELECT 'sales_forecast_model', (SELECT 30 * count(*) FROM (SELECT 1 FROM sales_series GROUP BY series_id HAVING count(*) >= 28))
+  UNION ALL SELECT 'demand_forecast_model', (SELECT 14 * count(*) FROM (SELECT 1 FROM demand_series GROUP BY series_id HAVING count(*) >= 28)))""",
     "q5_total_revenue": "SELECT CAST(sum(total_amount) AS DOUBLE) AS total_revenue FROM daily_sales",
     "q6_churn_rate": "SELECT round(avg(CAST(churned_next_30d AS INT)), 6) AS churn_rate FROM features",
     "q7_high_risk_customers": (
@@ -529,6 +548,7 @@ SELECT 'doc-' || doc_id AS doc_id, 'Text ' || doc_id AS title, source AS categor
 FROM documents""",
     "q10_document_search": _bm25(["in", "from", "ertion"], "source = 'src1'"),
     "q10_document_search_all": _bm25(["für", "anre", "hation", "del"], "TRUE"),
+    "q11_search_index_deletes": _bm25(["in", "from", "ertion"], "TRUE", "doc_id % 5 <> 0"),
     "q11_search_index_refresh": _bm25(["in", "from", "ertion"], "source = 'src1'"),
     "q16_qc_corpus": """
 SELECT 'category_allowed' AS rule, count(*) FILTER (WHERE lang NOT IN ('en', 'de')) AS violations FROM documents
@@ -539,6 +559,13 @@ SELECT order_id, CASE WHEN status <> 'F' THEN 'X' ELSE status END AS status,
   CAST(CASE WHEN status <> 'F' THEN 2 ELSE 1 END AS BIGINT) AS extract_no FROM raw_orders""",
 }
 
+# The verified queries of the semantic model ask what these ask.
+SQL |= {
+    "q4_verified_monthly_revenue": SQL["q1_monthly_revenue_by_channel"],
+    "q4_verified_high_risk": SQL["q2_high_risk_count_by_region"],
+    "q4_verified_top_products": SQL["q3_top_products_by_demand"],
+}
+
 
 def _refresh_counts(layers: str, refresh: str) -> str:
     """Rows of all stored tables after one refresh, in a WITH of its own."""

@@ -772,6 +772,40 @@ def q4_metric_query(w):
     ).select("period", "plan_type", d("sum_monetary_90d"), big("max_frequency_90d"))
 
 
+@query()
+def q4_metric_ranges(w):
+    """Several facts in a range of days and of tenure, for two regions."""
+    return semantic.Metric(
+        "customer_features",
+        (("購入金額", "sum"), ("monetary_90d", "max"), ("customer_id", "distinct"), (semantic.ALL, "count")),
+        ("region", "churned_next_30d"),
+        "quarter",
+        (
+            ("region", ["ASIA", "EUROPE"]),
+            ("snapshot_date", semantic.Range(dt.date(1997, 1, 1), dt.date(1999, 12, 31))),
+            ("tenure_days", semantic.Range(least=200)),
+        ),
+    ).plan({"customer_features": w.customer_features}).select(
+        "period", "region", "churned_next_30d", d("sum_monetary_90d"), d("max_monetary_90d"), big("distinct_customer_id"), big("count_all")
+    )
+
+
+@query()
+def q4_verified_monthly_revenue(w):
+    """Asked for by its question."""
+    return semantic.answer(w.marts(), "チャネル別の月次売上を教えて").select("month", "channel", d("revenue"))
+
+
+@query()
+def q4_verified_high_risk(w):
+    return semantic.answer(w.marts(), "high_risk_customer_count_by_region")
+
+
+@query()
+def q4_verified_top_products(w):
+    return semantic.answer(w.marts(), "直近30日で最も需要が多い商品トップ5は？", w.as_of)
+
+
 @query()
 def q5_total_revenue(w):
     return semantic.total_revenue(w.daily_sales).select(d("total_revenue"))

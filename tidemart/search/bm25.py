@@ -7,6 +7,7 @@ postings in a table, for many queries over a corpus that changes a little at a t
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -87,12 +88,18 @@ def search(
     )
 
 
+MANIFEST = "version bigint, run string, replaces array<string>"
+
+
 @dataclass(frozen=True)
 class SearchIndex:
-    """Append-only index: each refresh adds the changed documents under a new version.
+    """Index of segments: a refresh writes documents and postings into a folder of its own and then commits both.
 
-    A document's live rows are those of its newest version. A repeated refresh of one version
-    replaces that version's files, so a retried batch does no harm.
+    The commit is one file appended to ``manifest``; until then nothing of the segment is seen, so documents and
+    postings never get out of step and a crash between them loses nothing. A document's live row is that of its newest
+    version; a deleted one has a tombstone. :meth:`compact` merges segments into one without old versions and
+    tombstones. Refreshes and a compaction may run at the same time: a compaction takes the place of those segments
+    alone that it has read.
     """
 
     spark: SparkSession
@@ -100,59 +107,100 @@ class SearchIndex:
     attributes: tuple[str, ...] = ("title", "category")
     text: str = "content"
 
-    def refresh(self, changed: DataFrame, version: int) -> None:
-        """Index the changed documents. A changed document without text drops out of the results."""
+    def _manifest(self) -> list:
+        try:
+            return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest").collect()
+        except AnalysisException as e:  # nothing is stored yet
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+
+    def segments(self) -> dict[str, int]:
+        """Committed segments that none has replaced, and their versions."""
+        rows = self._manifest()
+        gone = {run for r in rows for run in r.replaces}
+        return {r.run: r.version for r in rows if r.run not in gone}
+
+    def next_version(self) -> int:
+        """One more than the newest version; 0 for a new index."""
+        return max([r.version for r in self._manifest()], default=-1) + 1
+
+    def _commit(self, version: int, run: str, replaces: list[str]) -> None:
+        row = self.spark.createDataFrame([(version, run, replaces)], MANIFEST)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def _write(self, run: str, heads: DataFrame, postings: DataFrame) -> None:
+        heads.write.parquet(f"{self.path}/segments/{run}/docs")
+        postings.sortWithinPartitions("term").write.parquet(f"{self.path}/segments/{run}/postings")
+
+    def refresh(self, changed: DataFrame, version: int | None = None, deleted: DataFrame | None = None) -> None:
+        """Index the changed documents and put tombstones on the deleted ids.
+
+        A changed document without text drops out of the results. A repeated refresh of a stated version replaces
+        that version.
+        """
+        run = uuid.uuid4().hex
+        replaces = [r for r, v in self.segments().items() if v == version] if version is not None else []
+        version = self.next_version() if version is None else version
+        number = F.lit(version).cast("bigint").alias("version")
         words = changed.select("doc_id", *self.attributes, tokens(self.text).alias("words"))
-        version_col = F.lit(version).cast("bigint").alias("version")
-        heads = words.select("doc_id", *self.attributes, F.size("words").alias("length"), version_col)
+        heads = words.select(
+            "doc_id", *self.attributes, F.size("words").alias("length"), F.lit(False).alias("deleted"), number
+        )
+        if deleted is not None:
+            stones = deleted.select("doc_id", F.lit(0).alias("length"), F.lit(True).alias("deleted"), number)
+            heads = heads.unionByName(stones, allowMissingColumns=True)
         postings = (
             words.select("doc_id", F.explode("words").alias("term"))
             .groupBy("doc_id", "term")
             .agg(F.count("*").alias("tf"))
-            .select("doc_id", "term", "tf", version_col)
+            .select("doc_id", "term", "tf", number)
         )
-        for name, df in (("docs", heads), ("postings", postings.sortWithinPartitions("term"))):
-            (
-                df.write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("version")
-                .parquet(f"{self.path}/{name}")
-            )
+        self._write(run, heads, postings)
+        self._commit(version, run, replaces)
 
     def refresh_stream(self, docs: DataFrame, checkpoint: str):
         """Start a stream that indexes each arriving batch of documents as a new version.
 
-        Versions go up from the newest stored one, so a stream never overwrites what is indexed, whatever its
-        checkpoint. A batch that is run again becomes one more version of the same documents.
+        A batch that is run again becomes one more version of the same documents.
         """
         return (
-            docs.writeStream.foreachBatch(lambda batch, _: self.refresh(batch, self.next_version()))
+            docs.writeStream.foreachBatch(lambda batch, _: self.refresh(batch))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
         )
 
-    def next_version(self) -> int:
-        """One more than the newest version with documents or postings; 0 for a new index."""
-        newest = -1
-        for name in ("docs", "postings"):
-            try:
-                stored = self.spark.read.parquet(f"{self.path}/{name}")
-            except AnalysisException:  # nothing is stored yet
-                continue
-            newest = max(newest, stored.agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0])
-        return newest + 1
+    def _read(self, name: str, runs: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/segments/{run}/{name}" for run in runs])
+
+    def _live(self, runs: list[str]) -> DataFrame:
+        docs = self._read("docs", runs)
+        if len(runs) > 1:
+            row = F.struct("version", "length", "deleted", *self.attributes)
+            docs = docs.groupBy("doc_id").agg(F.max_by(row, "version").alias("d")).select("doc_id", "d.*")
+        return docs.where(~F.col("deleted"))
 
     def live_docs(self) -> DataFrame:
-        docs = self.spark.read.parquet(f"{self.path}/docs")
-        row = F.struct("version", "length", *self.attributes)
-        return docs.groupBy("doc_id").agg(F.max_by(row, "version").alias("d")).select("doc_id", "d.*")
+        return self._live(sorted(self.segments())).drop("deleted")
+
+    def compact(self) -> None:
+        """Merge all segments into one that holds each live document once; results stay the same."""
+        segments = self.segments()
+        runs, run = sorted(segments), uuid.uuid4().hex
+        if not runs:
+            return
+        docs = self._live(runs)
+        live = docs.select("doc_id", "version")
+        self._write(run, docs, self._read("postings", runs).join(live, ["doc_id", "version"], "left_semi"))
+        self._commit(max(segments.values()), run, runs)
 
     def search(self, query: str, k: int = 10, attributes: dict[str, str] | None = None) -> DataFrame:
         attributes = attributes or {}
         terms = query_terms(query)
-        docs = self.live_docs().where(F.col("length") > 0)
-        postings = self.spark.read.parquet(f"{self.path}/postings").where(F.col("term").isin(terms))
+        runs = sorted(self.segments())
+        docs = self._live(runs).where(F.col("length") > 0)
+        postings = self._read("postings", runs).where(F.col("term").isin(terms))
         hits = postings.join(docs, ["doc_id", "version"])
         corpus = docs.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean_length")).alias("s")).scalar()
         # One entry per query term.
