@@ -102,17 +102,32 @@ def test_ranks_equal_plain_iteration(spark):
     frame = spark.createDataFrame([(*k, w) for k, w in edges.items()], "src string, dst string, weight double")
     seeds = spark.createDataFrame([("a", 1.0, 0.0), ("d", 0.5, 0.0), ("c", 0.0, 1.0)], "host string, allowed double, blocked double")
     got = {r.host: (r.trust, r.distrust) for r in urlrank.ranks(seeds, frame).collect()}
-    into = Counter()
-    for (_, t), w in edges.items():
-        into[t] += w
-    flows = (edges, {(t, s): w / into[t] for (s, t), w in edges.items()})
+    flows = (edges, {(t, s): w for (s, t), w in edges.items()})
     for k, (flow, start) in enumerate(zip(flows, ({"a": 1.0, "d": 0.5}, {"c": 1.0}))):
         base = {h: 0.15 * s for h, s in start.items()}
         score = dict(base)
-        for _ in range(urlrank.STEPS):
+        for _ in range(200):
             new = Counter(base)
             for (s, t), w in flow.items():
                 new[t] += 0.85 * w * score.get(s, 0)
             score = dict(new)
         for h in got:
-            assert abs(got[h][k] - score.get(h, 0)) < 1e-12
+            assert abs(got[h][k] - score.get(h, 0)) < 1e-5
+
+
+def test_a_blocked_host_with_many_linkers_blocks_each(spark):
+    bad = [(i, f"http://bad.net/es/{i}", None) for i in range(3)]
+    linkers = [(100 + i, f"http://friend{i}.org/a", "<a href='//bad.net/q'>x</a>") for i in range(10)]
+    half = [(200, "http://half.org/a", "<a href='http://bad.net/q'> <a href='http://fine.org/'> <a href='http://fine.org/2'>")]
+    chain = [(300 + i, f"http://c{i}.org/", f"<a href='http://{f'c{i - 1}.org' if i else 'shop.com'}/'>") for i in range(12)]
+    got = judged(spark, [*bad, *linkers, *half, *chain, (400, "http://shop.com/", None)])
+    assert {got[100 + i][3] for i in range(10)} == {"block"} and got[200][3] == "allow"
+    assert {got[300 + i][3] for i in range(12)} == {"allow"} and got[400][3] == "allow"
+
+
+def test_scores_reach_hosts_at_any_distance(spark):
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(30)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("h0", 1.0, 0.0), ("h30", 0.0, 1.0)], "host string, allowed double, blocked double")
+    got = {r.host: (r.trust, r.distrust) for r in urlrank.ranks(seeds, edges).collect()}
+    for i in range(31):
+        assert abs(got[f"h{i}"][0] - 0.15 * 0.85**i) < 1e-6 and abs(got[f"h{i}"][1] - 0.15 * 0.85 ** (30 - i)) < 1e-6

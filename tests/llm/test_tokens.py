@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -131,3 +132,15 @@ def test_sequences_hold_the_ids(docs):
             at += n
         assert at == len(r.ids) <= 1024
     assert sorted(found) == want
+
+
+def test_long_words_merge_fast_and_alike():
+    library, own = Tokenizer.from_file(bpe.DEFAULT), bpe.WordBpe(tokenizer_json(bpe.DEFAULT))
+    rng = random.Random(8)
+    words = ["a" * 4001, "abc" * 700, "".join(rng.choice("abcdeinrst") for _ in range(3000)), "é" * 900]
+    offsets, ids = own.encode(pa.array(words))
+    for k, e in enumerate(library.encode_batch(words, add_special_tokens=False)):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == e.ids
+    start = time.time()
+    own.encode(pa.array(["".join(rng.choice("abcdefghijk") for _ in range(1_000_000))]))
+    assert time.time() - start < 20

@@ -2,13 +2,13 @@
 
 A word is a list of part ids and, beside it, the ranks of adjacent pairs. The smallest rank is searched
 again and again; its boundary is deleted and the two neighbouring ranks are looked up anew. Words are short,
-so the scan beats a heap. Texts are cut at white space, where the pre-tokenizer always cuts; Arrow numbers
+so the scan beats a heap; the rare word of more than ``LONGEST_SCANNED`` parts is merged by one. Texts are cut at white space, where the pre-tokenizer always cuts; Arrow numbers
 the pieces of a batch, and only distinct ones are merged. Results are kept in bounded caches per task.
 
 Normalising and pre-tokenizing of pieces beyond plain ASCII words are the library's, as are the file formats.
 
 Defined results: a null text is encoded as the empty text. Strings of special tokens in a text become those
-tokens. Texts of any length are encoded whole; repeated rows give repeated results; extra columns are ignored.
+tokens. Texts of any length are encoded whole; repeated rows give repeated results; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from tokenizers import Tokenizer
 
 from tidemart.llm.common import pick, slices, tokenizer_json
 from tidemart.llm.library_tokens import LETTERS, as_bytes, encoded_lists
+from tidemart.llm.long_words import merge_by_heap
 
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
 _ID_BITS = 24
@@ -35,6 +36,8 @@ _ID_MASK, _NONE = (1 << _ID_BITS) - 1, 1 << 60
 #: ASCII words that need no normal form, perhaps with marks behind them.
 _PLAIN = f"^[{LETTERS}]+[.,;:!?()\"-]*$"
 _LETTERS = re.compile(f"[{LETTERS}]+")
+#: Parts of a word up to which all ranks are scanned for each merge; above, a heap holds the pairs.
+LONGEST_SCANNED = 200
 #: Distinct pieces, and words, that a task keeps; about 250 bytes each.
 MOST_KNOWN = 300_000
 
@@ -64,6 +67,8 @@ class WordBpe:
         vocab, rank_of = self.vocab, self.ranks.get
         symbols = [*word[:-1], word[-1] + self.suffix]
         parts = [vocab[s] for s in symbols if s in vocab]
+        if len(parts) > LONGEST_SCANNED:
+            return tuple(merge_by_heap(parts, self._join))
         ranks = [rank_of(pair, _NONE) for pair in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) != _NONE:
             at = ranks.index(best)
@@ -75,6 +80,11 @@ class WordBpe:
                 ranks[at] = rank_of((parts[at], parts[at + 1]), _NONE)
         return tuple(parts)
 
+    def _join(self, a: int, b: int) -> tuple[int, int] | None:
+        """Rank and id of a pair of ids, for words that are merged by a heap."""
+        rank = self.ranks.get((a, b))
+        return None if rank is None else (rank >> _ID_BITS, rank & _ID_MASK)
+
     def _word(self, word: str) -> tuple[int, ...]:
         ids = self.words.get(word)
         if ids is None:

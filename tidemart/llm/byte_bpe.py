@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -166,7 +167,7 @@ class Words:
         number: dict[str, int] = {}
 
         def cut(text: str) -> bytes:
-            return np.array([number.setdefault(w, len(number)) for w in self.pattern.findall(text)], "<u4").tobytes()
+            return array("I", [number.setdefault(w, len(number)) for w in self.pattern.findall(text)]).tobytes()
 
         def cut_all(pieces: pa.Array) -> list[bytes]:
             plain = pc.match_substring_regex(pieces, _PLAIN).to_pylist()

@@ -10,6 +10,8 @@ from tidemart.llm.subspace import COSINE
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: Steps after which ranks move by less than 1e-7.
+URL_STEPS = 96
 _LOWER = f"translate({{0}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
 
@@ -119,7 +121,7 @@ def urlrank_sql() -> str:
     case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, what)}'" for r in longest) + " END"
     href = urlrank.HREF.replace("'", "''")
     steps = []
-    for k in range(urlrank.STEPS):
+    for k in range(URL_STEPS):
         steps.append(f"""
 s{k + 1} AS MATERIALIZED (
   SELECT walk, host, sum(score) AS score FROM (
@@ -134,7 +136,8 @@ WITH split AS MATERIALIZED (
   FROM pages
 ),
 judged AS MATERIALIZED (SELECT *, {case("name")} AS rule, {case("verdict")} AS by_rule FROM split),
-links AS (SELECT host AS src, unnest(regexp_extract_all(html, '{href}', 1)) AS url FROM judged),
+found AS (SELECT host AS src, unnest(regexp_extract_all(html, '{href}', 1)) AS url FROM judged),
+links AS (SELECT src, CASE WHEN starts_with(url, '//') THEN ':' || url ELSE url END AS url FROM found),
 family AS (
   SELECT src, dst FROM (SELECT DISTINCT host AS src, regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) AS dst FROM judged) WHERE dst <> ''
 ),
@@ -145,7 +148,7 @@ pairs AS (SELECT src, dst, count(*) AS n FROM every WHERE src <> '' AND dst <> '
 edges AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS weight FROM pairs),
 walks AS MATERIALIZED (
   SELECT 'trust' AS walk, src, dst, weight FROM edges UNION ALL
-  SELECT 'distrust', dst, src, weight / sum(weight) OVER (PARTITION BY dst) FROM edges
+  SELECT 'distrust', dst, src, weight FROM edges
 ),
 shares AS (
   SELECT host, avg((coalesce(by_rule, '') = 'allow')::INT) AS allowed, avg((coalesce(by_rule, '') = 'block')::INT) AS blocked
@@ -158,7 +161,7 @@ base AS MATERIALIZED (
 {",".join(steps)},
 final AS (
   SELECT host, coalesce(sum(score) FILTER (walk = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (walk = 'distrust'), 0) AS distrust
-  FROM s{urlrank.STEPS} GROUP BY host
+  FROM s{URL_STEPS} GROUP BY host
 )
 SELECT page_id, j.host, j.path, j.rule,
   coalesce(by_rule, CASE WHEN distrust >= {urlrank.THRESHOLD} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict

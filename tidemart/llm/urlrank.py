@@ -3,15 +3,24 @@
 Rules name a host, with its subdomains, and a path prefix; the longest that fits decides. Other pages are
 judged by their host: shares of pages that rules allow and block are the seeds of two personalised
 PageRanks, trust along host edges and distrust against them, and a host is blocked where distrust reaches
-a threshold and exceeds trust. Host edges are hyperlinks with a host in the pages' HTML, and both directions
-between a host and its parent domain (top-level domains are none). Everything is DataFrame expressions.
+a threshold and exceeds trust. Distrust comes back to a linking host by the share of its own links, so it
+does not shrink with the number of linkers: it is the damped chance that a walk along links from the host meets
+a blocked page, and a host that links to nothing but a blocked host has 0.1275 however many others do.
+
+Host edges are hyperlinks with a host (``scheme://host/`` or ``//host/``) in the pages' HTML, and both directions
+between a host and its parent domain (top-level domains are none). Pages whose links are all relative to their
+host, as in the test tables, give edges of the second kind only. Everything is DataFrame expressions.
+
+Ranks are iterated until no score moves by ``TOLERANCE`` in ``STEPS_AT_ONCE`` steps; each step shrinks what is left
+by the damping, so this ends after some seventy steps at any size.
 
 Edges are summed per pair of hosts before any join, and walks add contributions with partial sums, so a
 host with a third of all pages or links is no bottleneck. Ranks are checkpointed while they are iterated.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no rule, and is allowed. Null
 HTML has no links. Repeated rows give repeated results and count as pages. Extra columns are left out; an
-empty table gives an empty result.
+empty table gives an empty result. Of rules that fit, the longest wins, and among rules of one length the last by
+name; equal scores of trust and distrust allow.
 """
 
 from __future__ import annotations
@@ -43,10 +52,12 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-DAMPING, STEPS = 0.85, 8
+DAMPING = 0.85
+#: Ranks have converged when no score moves by so much in so many steps.
+TOLERANCE, STEPS_AT_ONCE = 1e-6, 8
 #: Least distrust that blocks a host, if it exceeds its trust.
 THRESHOLD = 0.075
-HREF = "(?i)href\\s*=\\s*[\"']?([a-z][a-z0-9+.-]*://[^\\s\"'<>]*)"
+HREF = "(?i)href\\s*=\\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\\s\"'<>]*)"
 
 
 def host_of(url: Column) -> Column:
@@ -78,7 +89,8 @@ def ruled(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight): shares of each host's links; one row for each pair of hosts."""
     links = pages.select("host", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("url"))
-    out = links.select(F.col("host").alias("src"), host_of(F.col("url")).alias("dst"))
+    url = F.when(F.col("url").startswith("//"), F.concat(F.lit(":"), F.col("url"))).otherwise(F.col("url"))
+    out = links.select(F.col("host").alias("src"), host_of(url).alias("dst"))
     parent = F.regexp_extract("host", "^[^.]+\\.(.+\\..+)$", 1)
     family = pages.select("host").distinct().select(F.col("host").alias("src"), parent.alias("dst")).where("dst <> ''")
     every = out.union(family).union(family.select("dst", "src")).where("src <> '' AND dst <> '' AND src <> dst")
@@ -87,13 +99,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return pairs.join(totals, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("weight"))
 
 
-def ranks(seeds: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(host, trust, distrust) after some steps; seeds: host, allowed, blocked as shares of pages."""
-    back = edges.groupBy("dst").agg(F.sum("weight").alias("total"))
-    reverse = edges.join(back, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("total")).alias("weight"))
+def ranks(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust), converged; seeds: host, allowed, blocked as shares of pages."""
     walks = checkpointed(
         edges.select(F.lit("trust").alias("walk"), "src", "dst", "weight").union(
-            reverse.select(F.lit("distrust"), "src", "dst", "weight")
+            edges.select(F.lit("distrust"), "dst", "src", "weight")
         )
     )
     start = checkpointed(
@@ -103,13 +113,17 @@ def ranks(seeds: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataFrame:
     )
     base = start.select("walk", "host", ((1 - DAMPING) * F.col("seed")).alias("score"))
     score = base
-    for step in range(steps):
-        moved = walks.join(score.withColumnRenamed("host", "src"), ["walk", "src"]).select(
-            "walk", F.col("dst").alias("host"), (DAMPING * F.col("weight") * F.col("score")).alias("score")
-        )
-        score = base.union(moved).groupBy("walk", "host").agg(F.sum("score").alias("score"))
-        if step % 4 == 3:
-            score = checkpointed(score)
+    while True:
+        before = score
+        for _ in range(STEPS_AT_ONCE):
+            moved = walks.join(score.withColumnRenamed("host", "src"), ["walk", "src"]).select(
+                "walk", F.col("dst").alias("host"), (DAMPING * F.col("weight") * F.col("score")).alias("score")
+            )
+            score = base.union(moved).groupBy("walk", "host").agg(F.sum("score").alias("score"))
+        score = checkpointed(score)
+        change = score.union(before.withColumn("score", -F.col("score"))).groupBy("walk", "host").agg(F.sum("score").alias("d"))
+        if (change.agg(F.max(F.abs("d"))).first()[0] or 0.0) < tolerance:
+            break
     of = lambda walk: F.coalesce(F.sum(F.when(F.col("walk") == walk, F.col("score"))), F.lit(0.0))
     return score.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
 
