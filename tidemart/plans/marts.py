@@ -46,23 +46,11 @@ def top_products(fact_order_items: DataFrame, n: int = TOP_PRODUCTS) -> DataFram
 def daily_product_demand(fact_order_items: DataFrame, n: int = TOP_PRODUCTS) -> DataFrame:
     """Units sold by day and product, for the ``n`` products with the most revenue.
 
-    One pass over the facts: they are summed to (product, day), and each product carries its day
-    sums, at most one per calendar day, through the top-n.
+    The ids, ``n`` at most, are found first and broadcast, so that only their rows are summed by day.
     """
-    days = fact_order_items.groupBy("product_id", "order_date").agg(
-        F.sum("quantity").alias("quantity_sold"),
-        F.sum(F.col("quantity") * F.col("unit_price")).alias("revenue"),
-    )
-    products = days.groupBy("product_id").agg(
-        F.sum("revenue").alias("revenue"),
-        F.collect_list(F.struct("order_date", "quantity_sold")).alias("days"),
-    )
-    return (
-        products.orderBy(F.desc("revenue"), "product_id")
-        .limit(n)
-        .select("product_id", F.inline("days"))
-        .select("order_date", "product_id", "quantity_sold")
-    )
+    ids = top_products(fact_order_items, n).select("product_id")
+    chosen = fact_order_items.join(F.broadcast(ids), "product_id", "left_semi")
+    return chosen.groupBy("order_date", "product_id").agg(F.sum("quantity").alias("quantity_sold"))
 
 
 def customer_features_at(
