@@ -5,6 +5,10 @@ leave is searched for random-looking strings: maximal runs of a character class
 slides over each, and its Shannon entropy is kept up by adding and removing one character at a time.
 Windows above the class's threshold are joined to spans, unless an allow-list pattern explains the run.
 
+A run is first cut where something else explains a part of it: at spans of the patterns, at placeholder words, and
+within an address (a word with ``://`` or ``@`` before the run) at slashes and equals signs. So hosts and wordy paths
+stay below the window, while a random path part or query value is found, and so is what lies beside a pattern's span.
+
 Defined results: null and empty texts have no spans. Texts are read whole, in linear time and one at a
 time. Repeated rows give repeated results. Ties of a start go by the order of :data:`KINDS`. Extra columns
 are ignored; an empty table gives an empty result.
@@ -55,8 +59,11 @@ ALLOWED = (
     r"[0-9_+/=-]+",
     r"(?:[A-Za-z]+|[0-9]+)(?:[-_/+=]+(?:[A-Za-z]+|[0-9]+))*[-_/+=]*",
     r"[-_/+=]+(?:[A-Za-z]+|[0-9]+)(?:[-_/+=]+(?:[A-Za-z]+|[0-9]+))*[-_/+=]*",
-    r".*(?i:example|dummy|placeholder|xxxx).*",
 )
+#: Words that stand for a secret, and signs between the parts of an address.
+PLACEHOLDER = re.compile(r"(?i)example|dummy|placeholder|x{4,}")
+ADDRESS_MARK, ADDRESS_CUT = re.compile(r"://|@"), re.compile(r"[/=]")
+_BLANK = re.compile(r"\s")
 _ALLOWED = re.compile("|".join(f"(?:{p})" for p in ALLOWED))
 _CLASSES = tuple((c, re.compile(c.run)) for c in CLASSES)
 #: Entropy of a window of n with counts c is log2(n) - sum(c log2 c) / n.
@@ -97,31 +104,60 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return _ordered(found)
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Stretches from an address mark to the end of its word, in order."""
+    found: list[tuple[int, int]] = []
+    for m in ADDRESS_MARK.finditer(text):
+        if not found or m.start() >= found[-1][1]:
+            end = _BLANK.search(text, m.end())
+            found.append((m.start(), end.start() if end else len(text)))
+    return found
+
+
+def pieces(run: str, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a run without some stretches, given in order."""
+    left, at = [], 0
+    for start, end in cuts:
+        if start > at:
+            left.append((at, start))
+        at = max(at, end)
+    return [*left, (at, len(run))] if at < len(run) else left
+
+
 def entropy_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Random-looking spans that meet none of the spans in ``taken`` (ordered by start)."""
     found: list[tuple[int, int, str]] = []
-    for cls, pattern in _CLASSES:
-        for m in pattern.finditer(text):
-            run = m[0]
-            if not any(ch.isdigit() for ch in run) or _ALLOWED.fullmatch(run):
-                continue
-            before = text[max(0, m.start() - 200) : m.start()]
-            word = before.split()[-1] if before and not before[-1].isspace() else ""
-            if "://" in word or "@" in word:
-                continue  # part of an address
-            found += [(m.start() + a, m.start() + b, cls.kind) for a, b in random_windows(run, cls.window, cls.bits)]
-    ends: list[int] = []  # of the taken spans, made disjoint, so that starts and ends ascend
-    starts: list[int] = []
+    starts: list[int] = []  # of the taken spans, made disjoint, so that starts and ends ascend
+    ends: list[int] = []
     for start, end, _ in taken:
         if ends and start < ends[-1]:
             ends[-1] = max(ends[-1], end)
         else:
             starts.append(start)
             ends.append(end)
+    inside = addresses(text)
+    address_starts = [a for a, _ in inside]
+    for cls, pattern in _CLASSES:
+        for m in pattern.finditer(text):
+            run, at = m[0], m.start()
+            if not any(ch.isdigit() for ch in run) or _ALLOWED.fullmatch(run):
+                continue
+            cuts = [w.span() for w in PLACEHOLDER.finditer(run)]
+            k = bisect_right(ends, at)
+            while k < len(starts) and starts[k] < m.end():
+                cuts.append((max(0, starts[k] - at), ends[k] - at))
+                k += 1
+            k = bisect_right(address_starts, at) - 1
+            if k >= 0 and at < inside[k][1]:
+                cuts += [c.span() for c in ADDRESS_CUT.finditer(run)]
+            for a, b in pieces(run, sorted(cuts)):
+                part = run[a:b]
+                if len(part) < cls.window or not any(ch.isdigit() for ch in part) or _ALLOWED.fullmatch(part):
+                    continue
+                found += [(at + a + x, at + a + y, cls.kind) for x, y in random_windows(part, cls.window, cls.bits)]
     kept: list[tuple[int, int, str]] = []
     for s in _ordered(found):
-        at = bisect_right(ends, s[0])
-        if not (at < len(starts) and starts[at] < s[1]) and not (kept and s[0] < kept[-1][1]):
+        if not (kept and s[0] < kept[-1][1]):
             kept.append(s)
     return kept
 
