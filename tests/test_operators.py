@@ -24,6 +24,25 @@ def test_exact_quantiles_on_skewed_values(spark):
     assert df.where(F.col("v") > cut).count() == 18
 
 
+def test_quantiles_of_large_small_and_null_groups(spark):
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.expr("(id * 7919) % 60013 - 30000").alias("v"))
+    rows = rows.union(spark.createDataFrame([(7, 5), (7, -3), (8, 4), (9, None)], "g long, v long"))
+    got = {(r.g, r.prob): r.quantile for r in exact_quantiles(rows, "v", [0.001, 0.5, 0.985, 0.5], 10, ["g"]).collect()}
+    pdf = rows.toPandas()
+    assert len(got) == 15
+    for (g, p), q in got.items():
+        mine = pdf[pdf.g.isna() if g is None else pdf.g == g].v
+        assert q == pytest.approx(np.quantile(mine, p), abs=1e-9), (g, p)
+    assert exact_quantiles(rows.limit(0), "v", [0.5], 1, []).isEmpty()
+
+
+def test_a_quantile_scans_its_input_twice(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t"))
+    plan = exact_quantiles(frame, "id", [0.5], 1, [])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+
+
 def test_split_is_exact_and_stable(spark):
     df = spark.range(10_000).select(F.col("id").alias("k"), (F.col("id") % 100 == 0).alias("label"))
     one = stratified_split(df, "label", ["k"], 0.25, 42)
