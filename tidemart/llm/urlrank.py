@@ -55,6 +55,8 @@ RULES = (
 DAMPING = 0.85
 #: Ranks have converged when no score moves by so much in so many steps.
 TOLERANCE, STEPS_AT_ONCE = 1e-6, 8
+#: Walk edges that a task steps along: small graphs take few tasks, and few shuffle files, whatever the cluster.
+EDGES_PER_TASK = 200_000
 #: Least distrust that blocks a host, if it exceeds its trust.
 THRESHOLD = 0.075
 HREF = "(?i)href\\s*=\\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\\s\"'<>]*)"
@@ -106,11 +108,12 @@ def ranks(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE) -> D
             edges.select(F.lit("distrust"), "dst", "src", "weight")
         )
     )
-    start = checkpointed(
-        seeds.select(
-            "host", F.explode(F.create_map(F.lit("trust"), "allowed", F.lit("distrust"), "blocked")).alias("walk", "seed")
-        ).where("seed > 0")
+    tasks = 1 + walks.count() // EDGES_PER_TASK
+    walks = checkpointed(walks.coalesce(tasks))
+    start = seeds.select(
+        "host", F.explode(F.create_map(F.lit("trust"), "allowed", F.lit("distrust"), "blocked")).alias("walk", "seed")
     )
+    start = checkpointed(start.where("seed > 0").coalesce(tasks))
     base = start.select("walk", "host", ((1 - DAMPING) * F.col("seed")).alias("score"))
     score = base
     while True:
@@ -119,7 +122,7 @@ def ranks(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE) -> D
             moved = walks.join(score.withColumnRenamed("host", "src"), ["walk", "src"]).select(
                 "walk", F.col("dst").alias("host"), (DAMPING * F.col("weight") * F.col("score")).alias("score")
             )
-            score = base.union(moved).groupBy("walk", "host").agg(F.sum("score").alias("score"))
+            score = base.union(moved).groupBy("walk", "host").agg(F.sum("score").alias("score")).coalesce(tasks)
         score = checkpointed(score)
         change = score.union(before.withColumn("score", -F.col("score"))).groupBy("walk", "host").agg(F.sum("score").alias("d"))
         if (change.agg(F.max(F.abs("d"))).first()[0] or 0.0) < tolerance:
