@@ -190,12 +190,15 @@ _RAW = {
     "order_items": "raw_items",
 }
 _STAGED = {t: c.replace("raw_", "stg_") for t, c in _RAW.items()}
+# A refresh has its calendar up to the run date, whatever the newest order.
+_DAYS = """(SELECT unnest(generate_series(
+  (SELECT CAST(min(order_date) AS TIMESTAMP) FROM stg_orders), (SELECT CAST(d AS TIMESTAMP) FROM as_of), INTERVAL 1 DAY)))"""
 _STORED = {
     **{f"raw.{t}": c for t, c in _RAW.items()},
     **{f"staging.{t}": c for t, c in _STAGED.items()},
     "dwh.dim_customer": "dim_customer",
     "dwh.dim_product": "stg_products",
-    "dwh.dim_date": "dim_date",
+    "dwh.dim_date": _DAYS,
     "dwh.fact_orders": "stg_orders",
     "dwh.fact_order_items": "fact_items",
     "dwh.fact_subscription_events": "fact_events",
