@@ -90,6 +90,31 @@ def test_tables_miss_few_pairs_at_the_threshold():
     assert missed <= 3  # at a similarity of 0.75 one in 10,000 is expected
 
 
+def test_long_sketches_pass_pairs_at_the_threshold_and_few_below():
+    rng = np.random.default_rng(5)
+
+    def differing(common: int, own: int, trials: int = 300):
+        shared = rng.integers(0, 1 << 63, (trials, common), dtype=np.uint64) << np.uint64(1)
+        sides = [np.concatenate([shared, rng.integers(0, 1 << 63, (trials, own), dtype=np.uint64) << np.uint64(1)], axis=1) for _ in (0, 1)]
+        words = [minhash.bit_sketches(s.ravel(), np.arange(trials + 1) * (common + own)) for s in sides]
+        return np.bitwise_count((words[0] ^ words[1]).view(np.uint64)).sum(axis=1)
+
+    at, below = differing(150, 25), differing(120, 45)  # similarities 0.75 and 0.57
+    assert (at <= minhash.BITS_MOST).all() and (below > minhash.BITS_MOST).all()
+    assert abs(at.mean() / minhash.N_BITS - 0.125) < 0.005
+
+
+def test_pairs_across_components_come_once(docs, spark):
+    """A group whose pairs lie just above, at and below the threshold, each node in a component of its own."""
+    rows = list(enumerate(near_copies(77, 60, 9)))
+    sets = [shingles(t) for _, t in rows]
+    mixed = spark.createDataFrame([(k, i, i) for i, _ in rows for k in range(i % 3, 9)], "key bigint, node bigint, root bigint")
+    pairs = [(r.a, r.b) for r in minhash.across(mixed, docs(rows)).collect()]
+    assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+    near = {(a, b) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if 100 * len(x & y) >= 75 * len(x | y)}
+    assert near and near <= set(pairs) and len(pairs) < len(rows) * (len(rows) - 1) // 2
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, "x", 0) for i, v in rows], "vec_id bigint, embedding array<float>, node string, links int")
 

@@ -8,8 +8,9 @@ Nodes that share a key are candidates. To find all links between components with
 1. of every key, the smallest and the largest node are its hubs, and each node is paired with at most three
 of its hubs; 2. pairs whose sizes or sketches rule a link out go; the rest is verified on full sets; 3. linked
 nodes form components, and only keys that still hold several components go on, with hubs of two of them; 4.
-after some rounds, all pairs of nodes in different components that share a key are verified. So a group of
-thousands of near copies costs a few pairs a node, while every candidate pair either is verified or lies
+after some rounds, all pairs of nodes in different components that share a key are compared by longer sketches
+of one bit a hash, and those that these leave possible are verified, each pair under the first key it shares. So a
+group of thousands of near copies costs a few pairs a node, while every candidate pair either is compared or lies
 within one component already.
 
 At a similarity of 0.75 a pair shares no key with a probability below 1 in 10,000, and less for closer ones.
@@ -41,6 +42,11 @@ N_HASHES = GROUPS * SIDE * (LEFT + RIGHT)
 N_TABLES = GROUPS * SIDE * SIDE
 #: Equal hashes (by their low byte) that a pair needs to be verified: 4.7 deviations below a similarity of 0.75.
 SKETCH_LEAST = int(N_HASHES * 0.75 - 4.7 * (N_HASHES * 0.75 * 0.25) ** 0.5)
+#: Bits of the sketches that remaining candidates are compared by, 64 to a word.
+N_BITS = 2048
+#: Differing bits that a pair may have to be verified: 4.7 deviations above those of a similarity of 0.75. A bit
+#: differs with half the probability that the hash does.
+BITS_MOST = int(N_BITS * 0.125 + 4.7 * (N_BITS * 0.125 * 0.875) ** 0.5)
 #: Rounds of stars before the remaining candidates are enumerated.
 ROUNDS = 2
 #: Ids up to which a set of them is broadcast (16 MB); beyond that, documents are shuffled to them.
@@ -50,6 +56,8 @@ _RNG = np.random.default_rng(20_240_601)
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _RNG.integers(0, 1 << 63, N_HASHES, dtype=np.uint64)
 _WORD_PLACES = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BIT_MULTIPLIERS = _RNG.integers(1, 1 << 31, N_BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_BIT_ADDENDS = _RNG.integers(0, 1 << 32, N_BITS, dtype=np.uint32)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -109,6 +117,16 @@ def table_keys(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return keys.T.astype(np.int64), (hashes.T & np.uint64(255)).astype(np.uint8).view(np.int8)
 
 
+def bit_sketches(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For sets that are not empty: one bit of each of N_BITS smallest hashes, packed to rows of 64-bit words."""
+    short = (values >> np.uint64(32)).astype(np.uint32)
+    bits = np.empty((N_BITS, len(starts) - 1), bool)
+    for k in range(N_BITS):
+        least = np.minimum.reduceat(short * _BIT_MULTIPLIERS[k] + _BIT_ADDENDS[k], starts[:-1])
+        bits[k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.ascontiguousarray(np.packbits(bits, axis=0).T).view(np.int64)
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n (size of its set), set_key, table keys, sketch. Empty sets have null keys."""
 
@@ -156,17 +174,21 @@ def _may_link() -> Column:
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, na, nb) of those pairs (a, b) that may be links."""
+    """Those of the pairs (a, b) that may be links."""
     both = pairs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b")
-    return both.where(_may_link()).select("a", "b", "na", "nb")
+    return both.where(_may_link()).select("a", "b")
+
+
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents whose ids are in ``ids`` (checkpointed, distinct)."""
+    few = ids.count() <= MOST_BROADCAST  # else the join shuffles
+    return pick(docs, doc_id="bigint", text="string").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
 def verified(candidates: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the plausible pairs whose full sets are similar enough."""
-    plausible = checkpointed(candidates)
+    """Those of the plausible pairs (a, b) whose full sets are similar enough."""
+    plausible = checkpointed(candidates.select("a", "b"))
     ids = checkpointed(plausible.select(F.col("a").alias("doc_id")).union(plausible.select("b")).distinct())
-    few = ids.count() <= MOST_BROADCAST  # else the join shuffles
-    texts = pick(docs, doc_id="bigint", text="string").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def run(batches):
         for batch in slices(batches, 2_000, 4 << 20):
@@ -174,17 +196,56 @@ def verified(candidates: DataFrame, docs: DataFrame) -> DataFrame:
             sets = pa.ListArray.from_arrays(starts.astype(np.int32), values.astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["doc_id", "set"])
 
-    sets = texts.mapInArrow(run, "doc_id bigint, set array<bigint>")
+    sets = _texts_of(ids, docs).mapInArrow(run, "doc_id bigint, set array<bigint>")
     both = F.size(F.array_intersect("xa", "xb")).cast("bigint")
     return (
         plausible.join(sets.toDF("a", "xa"), "a")
         .join(sets.toDF("b", "xb"), "b")
-        .select("a", "b", "na", "nb", both.alias("both"))
-        .where(100 * F.col("both") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("both")))
+        .select("a", "b", (F.size("xa") + F.size("xb")).alias("n"), both.alias("both"))
+        .where(100 * F.col("both") >= SIMILARITY * (F.col("n") - F.col("both")))
         .select("a", "b")
     )
 
 
+def _with_bits(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Per document of ``ids``: node, n (size of its set) and bits (its long sketch)."""
+
+    def run(batches):
+        for batch in slices(batches, 2_000, 4 << 20):
+            values, starts = shingle_sets(batch.column(1))
+            n = np.diff(starts)
+            some = np.flatnonzero(n > 0)
+            if len(some):
+                words = bit_sketches(values, np.append(starts[some], len(values)))
+                ends = np.arange(len(some) + 1, dtype=np.int32) * words.shape[1]
+                lists = pa.ListArray.from_arrays(ends, pa.array(words.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(some)), pa.array(n[some]), lists], ["node", "n", "bits"]
+                )
+
+    return _texts_of(ids, docs).mapInArrow(run, "node bigint, n bigint, bits array<bigint>")
+
+
+def across(mixed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different roots that share a key and that sizes and long sketches leave possible.
+
+    ``mixed``: key, node, root. A pair shares many keys; it comes out under the smallest of them only.
+    """
+    ids = checkpointed(mixed.select(F.col("node").alias("doc_id")).distinct())
+    keyed = mixed.groupBy("node").agg(F.first("root").alias("root"), F.collect_set("key").alias("keys"))
+    rows = _with_bits(ids, docs).join(keyed, "node").select(F.explode("keys").alias("key"), "*")
+    x, y = (rows.toDF(*[f"{c}_{side}" for c in rows.columns]) for side in "ab")
+    differ = sum(F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(N_BITS // 64))
+    pair = (
+        (F.col("key_a") == F.col("key_b"))
+        & (F.col("root_a") < F.col("root_b"))
+        & (100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b"))
+        & (differ <= BITS_MOST)
+        & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key_a"))
+    )
+    return x.join(y, pair).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def link(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links (a, b) that connect what candidates can connect; ``nodes``: node, n, keys, sketch."""
     rows = nodes.select(F.explode("keys").alias("key"), "node")
@@ -209,11 +270,7 @@ def link(nodes: DataFrame, docs: DataFrame) -> DataFrame:
             .select("node", "hub.node")
             .toDF("node", "hub")
         )
-    full = kept.select("key", "node", "root").join(nodes.select("node", "n", "sketch"), "node")
-    x = full.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    y = full.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & _may_link()).select("a", "b", "na", "nb")
-    return checkpointed(links.union(verified(across.distinct(), docs)))
+    return checkpointed(links.union(verified(across(kept.select("key", "node", "root"), docs), docs)))
 
 
 def _best(stars: DataFrame) -> DataFrame:
