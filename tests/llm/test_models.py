@@ -137,3 +137,17 @@ def test_only_the_bounded_sample_is_left_out_of_the_counts(fitted, monkeypatch):
     monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 20)
     rows = toxicity.learning_rows(frame, labels, 1, 3)
     assert 0 < rows.where("for_curve").count() < 60 and rows.count() > 500
+
+
+def test_a_text_without_words_scores_alike_beside_other_texts(fitted, docs):
+    alone, beside = docs([(1, "")]), docs([(1, ""), (2, prose(50, 3)), (3, None)]).coalesce(1)
+    scores = {r.doc_id: r.score for r in toxicity.score(beside, fitted[2]).collect()}
+    assert scores[1] == scores[3] == toxicity.score(alone, fitted[2]).first().score
+
+
+def test_texts_are_not_shuffled_for_their_rare_windows(spark, fitted, monkeypatch):
+    frame, labels, _ = fitted
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 40)
+    scored = toxicity.score(frame, toxicity.fit(frame, labels))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "text#" not in plan

@@ -9,11 +9,12 @@ beside them the log of its number of words, since the best of many is higher by
 fitted on labelled documents that the counts leave out, turns them into a score.
 
 The counts cover all labelled documents of the learning folds but those of the curve, which are one fifth and at
-most about ``CALIBRATION_ROWS``. All windows are kept, as a distributed table. It is dealt by
-the three letters before the last, so that a task smooths its share of the longer windows by itself, and the
-windows of up to three letters, bounded by the alphabet, are smoothed on the driver. For scoring, the different
-windows of the texts are joined to that table; the ``MOST_GRAMS`` most frequent ones are broadcast with their
-log-ratios, and texts get their other windows' by a join.
+most about ``CALIBRATION_ROWS``. All windows are kept, as a distributed table. Counts are grouped by the three
+letters before the last, so that the longer windows of a group are smoothed by themselves; the windows of up to
+three letters, bounded by the alphabet, are smoothed on the driver. The model has a row for each seven letters before
+a last one, its history. Texts are scored in one pass: the histories seen most often for their number of windows are
+broadcast, with ``MOST_GRAMS`` windows at most, and settle nearly all words; a text's other words come out with their
+open windows, which are joined to the model's other rows. Texts themselves are not shuffled for it.
 
 Defined results: null and empty texts score by the curve with all features 0. Without labels of both classes
 every score is 0. Of several labels of a document the highest counts; null labels and ids are not learned
@@ -22,16 +23,16 @@ from. Texts are scored whole; repeated rows give repeated results; an empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemart.llm.common import by_position, checkpointed, pick, remainder, slices, stored
+from tidemart.llm.common import by_position, pick, remainder, slices, stored
 from tidemart.llm.grams import LETTER_BITS, letter_windows, numbered_words, summed
 
 #: Letters of a window; log-ratio of a word beyond which it counts as evidence.
@@ -39,8 +40,11 @@ ORDER, CLEAR = 8, 1.0
 #: Letters of the longest windows that are smoothed on the driver: 64 ** 3 at most.
 SHORT = 3
 THRESHOLD = 0.7
-#: Windows whose log-ratios are broadcast; others are joined.
+#: Windows whose log-ratios are broadcast, at most; others are joined.
 MOST_GRAMS = 1_000_000
+#: How often a broadcast history was seen for each of its windows, at least. To join the few places of a rarer one costs
+#: less than to hold it in every worker, and so the joined share does not depend on the size of the input.
+LEAST_SEEN = 4
 CALIBRATION_ROWS = 20_000
 #: Labels up to which they are broadcast (16 MB); beyond that, documents are shuffled to them.
 MOST_BROADCAST = 1_000_000
@@ -54,18 +58,17 @@ Table = tuple[np.ndarray, np.ndarray]
 
 @dataclass(frozen=True)
 class Model:
-    """``ratios`` (key, ratio): log P(toxic) - log P(ordinary) of all windows that a class has seen, and, for other
-    windows, of the letters before the last one; those have negative keys (:func:`history_key`).
+    """``windows`` has a row for each history, the letters before a window's last one: how often it was seen (n),
+    log P(toxic) - log P(ordinary) of last letters not seen behind it (unseen), and the seen letters with their ratios.
+    ``frequent`` is a :class:`Frequent` of the histories whose :func:`step` is ``least`` at least.
     ``curve`` is the intercept and a weight for each feature."""
 
-    ratios: DataFrame | None = None
+    windows: DataFrame | None = None
+    frequent: Broadcast | None = None
+    least: int = 0
     curve: np.ndarray | None = None
 
 
-def history_key(history):
-    return -1 - history
-
-
 def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     unique, at = np.unique(keys, return_inverse=True)
     return unique, np.stack([np.bincount(at, v, len(unique)) for v in values.T], axis=1)
@@ -135,8 +138,8 @@ def smooth_short(gram: np.ndarray, c: np.ndarray) -> Table:
     return keys, log_p
 
 
-def smooth(grams: np.ndarray, counts: np.ndarray, short: Table, taken: dict[int, np.ndarray]) -> Table:
-    """Interpolated Kneser-Ney models of windows: keys and log-ratios as in :class:`Model`.
+def smooth(grams: np.ndarray, counts: np.ndarray, short: Table, taken: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """Interpolated Kneser-Ney models of windows: rows as in :attr:`Model.windows`.
 
     ``counts`` has a column for each class. Windows are all those with certain letters before the last one, ``SHORT``
     of them; ``short`` and the discounts ``taken`` (see :func:`surveyed`) are those of all windows.
@@ -150,47 +153,95 @@ def smooth(grams: np.ndarray, counts: np.ndarray, short: Table, taken: dict[int,
         keys, (log_p, _) = gram, _interpolated(c, at, len(history), lower, taken[n])
     pooled = np.exp(log_p)
     done = [_interpolated(counts[:, c], at, len(history), pooled, taken[ORDER + 1 + c]) for c in (0, 1)]
-    ratios = [done[1][k] - done[0][k] for k in (0, 1)]
-    return np.concatenate([keys, history_key(history)]), np.concatenate(ratios).astype(np.float32)
-
-
-def word_ratios(tables: list[Table], words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Per word the toxic less the ordinary log-likelihood, and its number of letters with the end.
-
-    Tables hold sorted windows and their log-ratios.
+    ratio, unseen = ((done[1][k] - done[0][k]).astype(np.float32) for k in (0, 1))
+    starts = np.searchsorted(at, np.arange(len(history) + 1)).astype(np.int32)  # windows are sorted
+    columns = {
+        "history": pa.array(history),
+        "n": pa.array(np.bincount(at, counts.sum(axis=1), len(history)).astype(np.int64)),
+        "unseen": pa.array(unseen),
+        "letters": pa.ListArray.from_arrays(starts, pa.array(_suffix(grams, 1).astype(np.int8))),
+        "ratios": pa.ListArray.from_arrays(starts, pa.array(ratio)),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+class Frequent:
+    """Sorted histories and windows with their log-ratios, from rows as in :attr:`Model.windows`."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("history").combine_chunks()
+        self.histories, self.unseen = (rows[c].to_numpy() for c in ("history", "unseen"))
+        letters = rows["letters"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int8()))
+        last = letters.flatten().to_numpy().astype(np.int64)
+        windows = np.repeat(self.histories, letters.value_lengths().to_numpy()) << LETTER_BITS | last
+        order = np.argsort(windows)
+        self.windows = windows[order]
+        ratios = rows["ratios"].combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0, np.float32)
+        self.ratios = ratios[order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-ratios of windows, and which of them are open, as other rows of the model may tell them."""
+        ratio, at = np.zeros(len(keys)), _find(self.windows, keys)
+        ratio[at >= 0] = self.ratios[at[at >= 0]]
+        other = np.flatnonzero(at < 0)
+        at = _find(self.histories, keys[other] >> LETTER_BITS)
+        ratio[other[at >= 0]] = self.unseen[at[at >= 0]]
+        is_open = np.zeros(len(keys), bool)
+        is_open[other[at < 0]] = True
+        return ratio, is_open
+
+
+EIGHTHS = 8
+
+
+def step() -> Column:
+    """A history's place on a scale of eight steps to each double of how often it was seen for each of its windows."""
+    return F.floor(F.log2(F.col("n") / F.size("letters")) * EIGHTHS)
+
+
+#: What :func:`parts_of` gives of a text.
+PARTS = (
+    "total double, letters double, n_words bigint, top array<double>, mass double, "
+    "open array<struct<n:bigint,known:double,grams:array<bigint>>>"
+)
+
+
+def parts_of(frequent: Frequent, texts: pa.Array) -> list[pa.Array]:
+    """Per text the columns of :data:`PARTS`, from which :func:`features_of` makes the features.
+
+    ``total`` is the log-likelihood ratio of the whole text but its open windows. ``top`` and ``mass`` are of its
+    different words without open windows, so that repeated lines do not count again; ``open`` are its other words, with
+    their number, what their other windows have, and their open windows.
     """
-    keys, word = letter_windows(words, ORDER)
-    ratio = np.zeros(len(keys))
-    for windows, ratios in tables:
-        at = _find(windows, keys)
-        ratio[at >= 0] = ratios[at[at >= 0]]
-    return np.bincount(word, ratio, len(words)), np.bincount(word, minlength=len(words))
-
-
-def features(tables: list[Table], texts: pa.Array) -> np.ndarray:
-    """Per text the columns of :data:`FEATURES`."""
     words, places, starts = numbered_words(texts)
-    out = np.zeros((len(texts), len(FEATURES)))
-    if not len(places):
-        return out
-    ratio, size = word_ratios(tables, words)
-    out[:, 0] = summed(ratio[places], starts) / np.maximum(1, summed(size[places], starts))
-    # The other features are of a text's different words, so that repeated lines do not count again.
-    doc = np.repeat(np.arange(len(texts)), np.diff(starts))
-    pair = np.unique(doc * len(words) + places)
-    doc, value = pair // len(words), ratio[pair % len(words)]
-    n_words = np.bincount(doc, minlength=len(texts))
-    starts = np.concatenate([[0], np.cumsum(n_words)])
-    value = value[np.lexsort((-value, doc))]
-    rank = np.arange(len(doc)) - starts[doc]
-    for k in range(3):
-        kth = np.zeros(len(texts))
-        kth[doc[rank == k]] = value[rank == k]
-        out[:, 1] += kth * (k == 0)
-        out[:, 2] += kth / 3
-    out[:, 3] = np.log1p(summed(np.maximum(0, value - CLEAR), starts))
-    out[:, 4] = np.log(20 + n_words)
-    return out
+    keys, word = letter_windows(words, ORDER)
+    ratio, is_open = frequent.find(keys)
+    value, size = (np.bincount(word, w, len(words)).astype(float) for w in (ratio, None))
+    open_word = np.zeros(len(words), bool)
+    open_word[word[is_open]] = True
+    every = np.arange(len(texts) + 1)
+    doc = np.repeat(every[:-1], np.diff(starts))
+    pair, times = np.unique(doc * max(1, len(words)) + places, return_counts=True)
+    doc, of = np.divmod(pair, max(1, len(words)))
+    n_words, later = np.bincount(doc, minlength=len(texts)), open_word[of]
+
+    known, settled = value[of[~later]], doc[~later]
+    mass = np.bincount(settled, np.maximum(0, known - CLEAR), len(texts)).astype(float)
+    known = known[np.lexsort((-known, settled))]
+    rank = np.arange(len(settled)) - np.searchsorted(settled, every)[settled]
+    ends = np.searchsorted(settled[rank < 3], every).astype(np.int32)
+    top = pa.ListArray.from_arrays(ends, pa.array(known[rank < 3]))
+
+    doc, of, times = doc[later], of[later], times[later]
+    keys, word = keys[is_open], word[is_open]
+    first, beyond = np.searchsorted(word, of), np.searchsorted(word, of, "right")
+    ends = np.concatenate([[0], np.cumsum(beyond - first)])
+    grams = keys[np.arange(ends[-1]) + np.repeat(first - ends[:-1], beyond - first)]
+    grams = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(grams))
+    entries = pa.StructArray.from_arrays([pa.array(times), pa.array(value[of]), grams], ["n", "known", "grams"])
+    left = pa.ListArray.from_arrays(np.searchsorted(doc, every).astype(np.int32), entries)
+    sums = [pa.array(summed(v[places], starts)) for v in (value, size)]
+    return [*sums, pa.array(n_words), top, pa.array(mass), left]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -210,8 +261,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def score_of(curve: np.ndarray, found: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(curve[0] + found @ curve[1:], -40, 40)))
+def score_of(curve: np.ndarray) -> Column:
+    """The curve's value of the columns of :data:`FEATURES`."""
+    x = F.lit(float(curve[0]))
+    for name, weight in zip(FEATURES, curve[1:]):
+        x = x + F.col(name) * float(weight)
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), x))))
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, held_out: int, folds: int) -> DataFrame:
@@ -222,7 +277,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, held_out: int, folds: int)
         .groupBy("doc_id")
         .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     )
-    known = checkpointed(known)
+    known = stored(known, "toxicity_labels")
     n = known.count()
     few = n <= MOST_BROADCAST  # else the join shuffles
     texts = pick(docs, doc_id="bigint", text="string").where(remainder(F.col("doc_id"), folds) != held_out)
@@ -234,7 +289,8 @@ def learning_rows(docs: DataFrame, labels: DataFrame, held_out: int, folds: int)
 
 
 def count_windows(rows: DataFrame) -> DataFrame:
-    """Letter windows of all rows with their number in ordinary and toxic texts."""
+    """Letter windows of all rows with their number in ordinary and toxic texts: one row, with a list of windows, for
+    the same ``SHORT`` letters before the last."""
 
     def run(batches):
         keys, counts, size = [], [], 0
@@ -258,22 +314,29 @@ def count_windows(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"gram": pa.array(key), "n0": pa.array(n[:, 0]), "n1": pa.array(n[:, 1])})
 
     counted = rows.select("text", "toxic").mapInArrow(run, "gram bigint, n0 bigint, n1 bigint")
-    return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    before = F.shiftright("gram", LETTER_BITS).bitwiseAND(F.lit((1 << LETTER_BITS * SHORT) - 1))
+    return (
+        counted.withColumn("before", before)
+        .repartition("before")  # the only exchange: both groupings begin with this column
+        .groupBy("before", "gram")
+        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        .groupBy("before")
+        .agg(F.collect_list(F.struct("gram", "n0", "n1")).alias("windows"))
+    )
 
 
-def log_ratios(grams: DataFrame) -> DataFrame | None:
-    """:attr:`Model.ratios` of counted windows; none unless both classes have windows."""
-    before = F.shiftright("gram", LETTER_BITS).bitwiseAND(F.lit((1 << LETTER_BITS * SHORT) - 1))
-    shares = checkpointed(grams.repartition(before))  # a task has all windows with the same letters before the last
+def smoothed(counts: DataFrame) -> Model:
+    """The model of :func:`count_windows`, without a curve; empty unless both classes have windows."""
+    shares = stored(counts.select("windows"), "toxicity_counts")
 
-    def whole(batches):
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is not None and table.num_rows:
-            gram, *n = (table[c].to_numpy() for c in ("gram", "n0", "n1"))
-            yield gram, np.stack(n, axis=1)
+    def arrays(batches):
+        for batch in batches:
+            windows = batch.column(0).flatten()
+            if len(windows):
+                yield windows.field("gram").to_numpy(), np.stack([windows.field(c).to_numpy() for c in ("n0", "n1")], axis=1)
 
     def survey(batches):
-        for gram, n in whole(batches):
+        for gram, n in arrays(batches):
             what, key, times = map(pa.array, zip(*surveyed(gram, n)))
             yield pa.RecordBatch.from_arrays([what, key, times], ["what", "key", "times"])
 
@@ -286,96 +349,93 @@ def log_ratios(grams: DataFrame) -> DataFrame | None:
     )
     what, key, times = (found[c].to_numpy() for c in ("what", "key", "times"))
     if not len(what) or (times[what == ORDER + 3] == 0).any():
-        return None
+        return Model()
     short = smooth_short(key[what == 0], times[what == 0])
     taken = {n: discounts(times[what == n].tolist()) for n in range(SHORT + 1, ORDER + 3)}
-    shared = grams.sparkSession.sparkContext.broadcast((short, taken))
+    sc = counts.sparkSession.sparkContext
+    shared = sc.broadcast((short, taken))
 
     def run(batches):
-        for gram, n in whole(batches):
-            keys, ratios = smooth(gram, n.astype(float), *shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ratios)], ["key", "ratio"])
-
-    return stored(shares.mapInArrow(run, "key bigint, ratio float"), "toxicity_ratios")
-
-
-def with_features(
-    rows: DataFrame, text: str, model: Model, change: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema
-) -> DataFrame:
-    """Slices of rows changed with the features of their texts. Columns may not be called ``_text`` or ``_rare``."""
-    windows = count_windows(rows.select(F.col(text).cast("string").alias("text"), F.lit(0).alias("toxic")))
-    seen = model.ratios.where("key >= 0").select(F.col("key").alias("gram"), F.col("ratio").alias("seen"))
-    unseen = model.ratios.where("key < 0").select(F.col("key").alias("before"), F.col("ratio").alias("unseen"))
-    found = stored(
-        windows.withColumn("before", history_key(F.shiftright("gram", LETTER_BITS)))
-        .join(seen, "gram", "left")
-        .join(unseen, "before", "left")
-        .select("gram", F.coalesce("seen", "unseen", F.lit(0.0).cast("float")).alias("ratio"), "n0"),
-        "toxicity_windows",
-    )
-    few = found.count() <= MOST_GRAMS
-    frequent = found if few else found.orderBy(F.desc("n0"), "gram").limit(MOST_GRAMS)
-    frequent = frequent.select("gram", "ratio").toArrow()
-    order = np.argsort(frequent["gram"].to_numpy())
-    table = tuple(frequent[c].to_numpy()[order] for c in ("gram", "ratio"))
-    shared = rows.sparkSession.sparkContext.broadcast(table)
-    place = rows.columns.index(text)
+        for gram, n in arrays(batches):
+            yield smooth(gram, n.astype(float), *shared.value)
+
+    schema = "history bigint, n bigint, unseen float, letters array<tinyint>, ratios array<float>"
+    windows = stored(shares.mapInArrow(run, schema), "toxicity_windows")
+    steps = windows.groupBy(step()).agg(F.sum(F.size("letters"))).collect()
+    size, least = 0, 1 << 30
+    for place, many in sorted(steps, reverse=True):
+        size += many
+        if size > MOST_GRAMS or place < EIGHTHS * math.log2(LEAST_SEEN):
+            break
+        least = place
+    chosen = windows.where(step() >= least).select("history", "unseen", "letters", "ratios")
+    return Model(windows, sc.broadcast(Frequent(chosen.toArrow())), least)
+
+
+def features_of(parts: DataFrame, words: Column) -> DataFrame:
+    """Rows of :data:`PARTS` with the columns of :data:`FEATURES` in their place; ``words`` (n, all, later) are the open
+    words with their log-likelihood ratio and its share that is not in ``total``."""
+    ranked = F.sort_array(F.concat("top", F.transform(words, lambda w: w["all"])), asc=False)
+    rest = [c for c in parts.columns if c not in ("total", "letters", "n_words", "top", "mass", "open", "later")]
+    add = lambda value: F.aggregate(words, F.lit(0.0), lambda sum_, w: sum_ + value(w))
+    total = F.col("total") + add(lambda w: w["n"] * w["later"])
+    mass = F.col("mass") + add(lambda w: F.greatest(F.lit(0.0), w["all"] - CLEAR))
+    rows = parts.select(*rest, "letters", "n_words", total.alias("total"), mass.alias("mass"), ranked.alias("ranked"))
+    first = [F.coalesce(F.get("ranked", F.lit(k)), F.lit(0.0)) for k in range(3)]
+    features = [
+        F.col("total") / F.greatest(F.lit(1.0), "letters"),
+        first[0],
+        (first[0] + first[1] + first[2]) / 3,
+        F.log1p("mass"),
+        F.when(F.col("n_words") > 0, F.log(20.0 + F.col("n_words"))).otherwise(F.lit(0.0)),
+    ]
+    return rows.select(*rest, *(f.alias(name) for f, name in zip(features, FEATURES)))
+
+
+def with_features(rows: DataFrame, model: Model) -> DataFrame:
+    """Rows of a column and ``text``: that column, called ``of``, and the texts' features."""
+    frequent, of = model.frequent, rows.columns[0]
 
     def run(batches):
         for batch in slices(batches, 1_500, 3 << 20):
-            tables = [shared.value]
-            if not few:
-                rare = batch.column(batch.num_columns - 1).flatten()
-                gram, first = np.unique(rare.field("gram").to_numpy(), return_index=True)
-                tables.append((gram, rare.field("ratio").to_numpy()[first]))
-                batch = batch.select(batch.schema.names[:-1])
-            yield change(batch, features(tables, pc.cast(batch.column(place), pa.string())))
-
-    if few:
-        return rows.mapInArrow(run, schema)
-
-    def rare_windows(batches):
-        for batch in slices(batches, 1_500, 3 << 20):
-            words, places, starts = numbered_words(batch.column(1))
-            key, word = letter_windows(words, ORDER)
-            rare = _find(shared.value[0], key) < 0
-            key, word = key[rare], word[rare]
-            first, many = np.searchsorted(word, np.arange(len(words))), np.bincount(word, minlength=len(words))
-            n = many[places]
-            doc = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(starts)), n)
-            at = np.arange(n.sum()) + np.repeat(first[places] - (np.cumsum(n) - n), n)
-            of, number = np.unique(key, return_inverse=True)
-            pair = np.unique(doc * max(1, len(of)) + number[at])
-            doc, number = np.divmod(pair, max(1, len(of)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(of[number])], ["_text", "gram"])
-
-    # Equal texts share their windows, so a text's digest is key enough.
-    keyed = rows.withColumn("_text", F.unhex(F.md5(F.col(text).cast("string").cast("binary"))))
-    rare = (
-        keyed.select("_text", F.col(text).cast("string").alias("text"))
-        .mapInArrow(rare_windows, "_text binary, gram bigint")
-        .distinct()
-        .join(found.select("gram", "ratio"), "gram")
-        .groupBy("_text")
-        .agg(F.collect_list(F.struct("gram", "ratio")).alias("_rare"))
+            columns = [batch.column(0), *parts_of(frequent.value, batch.column(1))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"of {rows.schema[of].dataType.simpleString()}, {PARTS}"
+    names = ["of", "total", "letters", "n_words", "top", "mass", "open"]
+    parts = rows.mapInArrow(run, schema)
+    parts = stored(parts.withColumn("row", F.monotonically_increasing_id()), "toxicity_parts")
+    last = F.col("gram").bitwiseAND(F.lit((1 << LETTER_BITS) - 1)).cast("tinyint")
+    seen = F.get("ratios", (F.array_position("letters", last) - 1).cast("int"))
+    later = (
+        parts.select("row", F.posexplode("open").alias("word", "entry"))
+        .select("row", "word", F.explode("entry.grams").alias("gram"))
+        .join(model.windows.where(step() < model.least).drop("n"), F.shiftright("gram", LETTER_BITS) == F.col("history"), "left")
+        .select("row", "word", F.coalesce(seen, "unseen", F.lit(0.0)).cast("double").alias("ratio"))
+        .repartition("row")  # for both groupings and the join
+        .groupBy("row", "word")
+        .agg(F.sum("ratio").alias("ratio"))
+        .groupBy("row")
+        .agg(F.sort_array(F.collect_list(F.struct("word", "ratio"))).alias("later"))
+    )
+    kept = F.transform("open", lambda w: F.struct(w["n"].alias("n"), w["known"].alias("known"))).alias("open")
+    parts = parts.select("row", *names[:-1], kept).join(later, "row", "left").drop("row")
+    words = F.zip_with(
+        "open",
+        F.coalesce("later", F.array().cast("array<struct<word:int,ratio:double>>")),
+        lambda w, x: F.struct(w["n"].alias("n"), (w["known"] + x["ratio"]).alias("all"), x["ratio"].alias("later")),
     )
-    return keyed.join(rare, "_text", "left").select(*rows.columns, "_rare").mapInArrow(run, schema)
+    return features_of(parts, words)
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -> Model:
     """Count, smooth and calibrate; the curve's documents are not among the counted ones."""
     rows = learning_rows(docs, labels, held_out, folds)
-    ratios = log_ratios(count_windows(rows.where(~F.col("for_curve"))))
-    if ratios is None:
-        return Model()
-    model = Model(ratios)
-
-    def change(batch, x):
-        return pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, x.T)], ["toxic", *FEATURES])
-
-    curve = checkpointed(rows.where("for_curve").select("text", "toxic"))
-    table = with_features(curve, "text", model, change, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
-    y = table["toxic"].to_numpy()
+    model = smoothed(count_windows(rows.where(~F.col("for_curve"))))
+    if model.windows is None:
+        return model
+    table = with_features(rows.where("for_curve").select("toxic", "text"), model).toArrow()
+    y = table["of"].to_numpy()
     if len(np.unique(y)) < 2:
         return replace(model, curve=np.array([-6.0, 0.0, 1.0, 0.0, 0.0, 0.0]))
     x = np.stack([table[f].to_numpy() for f in FEATURES], axis=1)
@@ -384,33 +444,28 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -
 
 def score(docs: DataFrame, model: Model, held_out: int = 1, folds: int = 3) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    rows, curve = pick(docs, doc_id="bigint", text="string"), model.curve
-
-    def change(batch, x):
-        s = score_of(curve, x)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
-            ["doc_id", "score", "predicted"],
-        )
-
-    if curve is None:
-        scored = rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    rows = pick(docs, doc_id="bigint", text="string")
+    if model.curve is None:
+        scored = rows.select("doc_id", F.lit(0.0).alias("score"))
     else:
-        scored = with_features(rows, "text", model, change, "doc_id bigint, score double, predicted int")
+        scored = with_features(rows, model).select(F.col("of").alias("doc_id"), score_of(model.curve).alias("score"))
     out = F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False))
-    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+    predicted = (F.col("score") >= THRESHOLD).cast("int")
+    return scored.select("doc_id", out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are not predicted toxic; columns and rows are otherwise as they were."""
-    curve = model.curve
-    if curve is None:
+    if model.curve is None:
         return docs
 
-    def keep(batch, x):
-        return batch.filter(pa.array(score_of(curve, x) < THRESHOLD))
-
     def change(rows: DataFrame, places: dict[str, int]) -> DataFrame:
-        return with_features(rows, rows.columns[places["text"]], model, keep, rows.schema)
+        # Equal texts score alike, so a text's digest is key enough; null and empty texts have the same features.
+        text = F.coalesce(F.col(rows.columns[places["text"]]).cast("string"), F.lit(""))
+        digest = F.unhex(F.md5(text.cast("binary"))).alias("digest")
+        scored = with_features(rows.select(digest, text.alias("text")), model)
+        toxic = scored.where(score_of(model.curve) >= THRESHOLD).select(F.col("of").alias("digest")).distinct()
+        toxic = stored(toxic, "toxicity_rejected")  # so that Spark knows its size
+        return rows.select("*", digest).join(toxic, "digest", "left_anti").select(*rows.columns)
 
     return by_position(docs, change)
