@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import EDGES, prose
-from tidemart.llm import grams, langid, toxicity
+from tidemart.llm import common, grams, langid, toxicity
 
 SYLLABLES = {"aa": "ba de fi go lu", "bb": "kra tsi mor wen ul", "cc": "xo zy qua jin pel", "dd": "sno vre hai lop cu"}
 
@@ -151,3 +151,24 @@ def test_texts_are_not_shuffled_for_their_rare_windows(spark, fitted, monkeypatc
     scored = toxicity.score(frame, toxicity.fit(frame, labels))
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and "text#" not in plan
+
+
+def test_toxic_texts_are_dropped_without_a_shuffle_of_the_texts(spark, fitted):
+    frame, _, model = fitted
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = toxicity.accepted(frame, model)
+        assert "Exchange hash" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {r.doc_id for r in toxicity.score(frame, model).where("predicted = 0").collect()}
+    assert {r.doc_id for r in kept.collect()} == want
+
+
+def test_arrow_memory_goes_back_behind_the_last_slice():
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["x" * 1000] * 1000)})
+    released, pool = [], pa.default_memory_pool
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(common.pa, "default_memory_pool", lambda: released.append(1) or pool())
+        assert sum(s.num_rows for s in common.slices([batch], 100)) == 1000
+    assert released == [1]

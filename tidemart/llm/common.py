@@ -67,12 +67,16 @@ def fold(doc_id: int | None, divisor: int) -> int | None:
 def slices(
     batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that a slice has bounded rows and, but for single rows, about bounded bytes."""
+    """Cut Arrow batches so that a slice has bounded rows and, but for single rows, about bounded bytes.
+
+    Behind the last one Arrow's free memory goes back: workers live on, and later stages need it.
+    """
     for batch in batches:
         if batch.num_rows:
             step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()
 
 
 def tokenizer_json(path: str) -> str:

@@ -46,7 +46,7 @@ MOST_GRAMS = 1_000_000
 #: less than to hold it in every worker, and so the joined share does not depend on the size of the input.
 LEAST_SEEN = 4
 CALIBRATION_ROWS = 20_000
-#: Labels up to which they are broadcast (16 MB); beyond that, documents are shuffled to them.
+#: Labels, and digests of toxic texts, up to which they are broadcast (16 MB); beyond that, documents are shuffled to them.
 MOST_BROADCAST = 1_000_000
 #: At most one learning document in so many is left to the curve.
 CALIBRATION_SHARE = 5
@@ -465,7 +465,8 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         digest = F.unhex(F.md5(text.cast("binary"))).alias("digest")
         scored = with_features(rows.select(digest, text.alias("text")), model)
         toxic = scored.where(score_of(model.curve) >= THRESHOLD).select(F.col("of").alias("digest")).distinct()
-        toxic = stored(toxic, "toxicity_rejected")  # so that Spark knows its size
-        return rows.select("*", digest).join(toxic, "digest", "left_anti").select(*rows.columns)
+        toxic = stored(toxic, "toxicity_rejected")
+        few = toxic.count() <= MOST_BROADCAST  # else the join shuffles
+        return rows.select("*", digest).join(F.broadcast(toxic) if few else toxic, "digest", "left_anti").select(*rows.columns)
 
     return by_position(docs, change)
