@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,18 +17,41 @@ from tidemart.session import scratch_dir
 SLICE_ROWS, SLICE_BYTES = 8192, 12 << 20
 
 
+#: Spark's setting that deletes what a job has shuffled when the job ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs within leave no shuffle files behind; else these stay until the driver collects its garbage.
+
+    For jobs whose result is written or collected once, as many small ones together leave a file per task and exchange.
+    """
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` into the shared folder; sets a folder only where the session has none."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoints"))
-    return df.checkpoint()
+    with freed_shuffles(spark):
+        return df.select("*").checkpoint()  # a frame takes the setting when it is made
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the scratch folder and read it back: outlives executors and is compressed."""
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
