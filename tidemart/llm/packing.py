@@ -31,6 +31,8 @@ DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
 END_ID, CAPACITY = 2, 1024
 #: Pieces to a bucket in which ranks are counted, on average over the lengths of a bucket number.
 BUCKET_PIECES = 20_000
+#: Bytes of texts that a task encodes at once. It only bounds what a worker holds beside its cache of pieces.
+SLICE_BYTES = 2 << 20
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -42,7 +44,7 @@ def pieces(
 
     def run(batches):
         encoder = library_tokens(vocabulary.value)
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             offsets, ids = encoder.encode(batch.column(1))
             ids = np.insert(ids.astype("<u4"), offsets[1:], end_id)
             offsets = offsets + np.arange(len(offsets))
