@@ -22,7 +22,6 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemart.llm.common import pick, remainder, slices
-from tidemart.llm.library_tokens import _UNUSUAL, LETTERS, blank_pieces, encoded_lists
+from tidemart.llm.library_tokens import _UNUSUAL, LETTERS, blank_pieces
 from tidemart.llm.long_words import merge_by_heap
 
 DEFAULT = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -48,7 +47,7 @@ _SPREAD = 1 << 13
 _NONE = (1 << 31) - 1
 #: White space as the library's pattern engine has it (fixed values).
 _WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PLAIN = f"^ ?[{LETTERS}]+$"
+_PLAIN, _MARKED = f"^ ?[{LETTERS}]+$", f"^ ?[{LETTERS}]+[.,;:!?)]$"
 _WORD = "struct<ids string, bytes string>"
 
 
@@ -87,7 +86,7 @@ def piece_literal(ranks: dict[bytes, int]) -> Column:
 
 def rank_of(piece: Column, ranks: Column) -> Column:
     """The piece's rank, or a number above all ranks."""
-    one = F.get(ranks, (F.crc32(piece) % _SPREAD).cast("int"))
+    one = F.get(ranks, F.crc32(piece).bitwiseAND(F.lit(_SPREAD - 1).cast("bigint")).cast("int"))
     return F.coalesce(one[F.hex(piece)], F.lit(_NONE))
 
 
@@ -160,30 +159,49 @@ class Words:
         self.pattern = word_pattern()
 
     def numbered(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """The distinct words, and per text its words' numbers: offsets (one more than texts) and numbers."""
+        """The distinct words, and per text its words' numbers: offsets (one more than texts) and numbers.
+
+        Arrow numbers the pieces between blanks and their words; only pieces that are neither one word nor a word
+        with one mark behind it are cut in Python.
+        """
         texts = texts.fill_null("")
         odd = pc.match_substring_regex(texts, _UNUSUAL).to_numpy(zero_copy_only=False)
         usual = texts if not odd.any() else pc.if_else(pa.array(odd), "", texts)
-        number: dict[str, int] = {}
-
-        def cut(text: str) -> bytes:
-            return array("I", [number.setdefault(w, len(number)) for w in self.pattern.findall(text)]).tobytes()
-
-        def cut_all(pieces: pa.Array) -> list[bytes]:
-            plain = pc.match_substring_regex(pieces, _PLAIN).to_pylist()
-            return [
-                number.setdefault(p, len(number)).to_bytes(4, "little") if is_plain else cut(p)
-                for p, is_plain in zip(pieces.to_pylist(), plain)
-            ]
-
-        offsets, numbers = encoded_lists(blank_pieces(usual), cut_all)
-        if odd.any():  # cut whole
-            parts = np.split(numbers, offsets[1:-1])
-            for i in np.flatnonzero(odd):
-                parts[i] = np.frombuffer(cut(texts[int(i)].as_py()), "<u4")
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            numbers = np.concatenate(parts)
-        return pa.array(number, pa.string()), offsets, numbers
+        lists = blank_pieces(usual)
+        coded = lists.flatten().dictionary_encode()
+        pieces, codes = coded.dictionary, coded.indices.to_numpy()
+        plain, marked = (pc.match_substring_regex(pieces, p).to_numpy(zero_copy_only=False) for p in (_PLAIN, _MARKED))
+        other = ~(plain | marked)
+        with_mark = pieces.filter(pa.array(marked))
+        cut = [self.pattern.findall(p) for p in pieces.filter(pa.array(other)).to_pylist()]
+        whole = [self.pattern.findall(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        words = [
+            pieces.filter(pa.array(plain)),
+            pc.utf8_slice_codeunits(with_mark, 0, -1),
+            pc.utf8_slice_codeunits(with_mark, -1),
+            pa.array([w for own in cut for w in own], pa.string()),
+            pa.array([w for own in whole for w in own], pa.string()),
+        ]
+        coded = pa.concat_arrays(words).dictionary_encode()
+        single, stems, marks, parts, of_odd = np.split(coded.indices.to_numpy(), np.cumsum([len(w) for w in words])[:-1])
+        # The words of the pieces, those of one piece side by side; how many they are, and where they begin.
+        flat = np.concatenate([single, np.stack([stems, marks], axis=1).ravel(), parts])
+        many, first = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        many[plain], many[marked], many[other] = 1, 2, [len(own) for own in cut]
+        first[plain] = np.arange(len(single))
+        first[marked] = len(single) + 2 * np.arange(len(stems))
+        first[other] = len(single) + 2 * len(stems) + np.cumsum(many[other]) - many[other]
+        ends = np.cumsum(many[codes])
+        total = int(ends[-1]) if len(ends) else 0
+        numbers = flat[np.repeat(first[codes] - (ends - many[codes]), many[codes]) + np.arange(total)]
+        offsets = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        if odd.any():
+            own = np.split(numbers, offsets[1:-1])
+            for i, n in zip(np.flatnonzero(odd), np.split(of_odd, np.cumsum([len(w) for w in whole])[:-1])):
+                own[i] = n
+            offsets = np.concatenate([[0], np.cumsum([len(n) for n in own])])
+            numbers = np.concatenate(own)
+        return coded.dictionary, offsets, numbers
 
 
 def _merge_long(word: bytes, ranks: dict[bytes, int]) -> tuple[str, str]:
@@ -258,7 +276,7 @@ def batched(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             ]
             done = pa.StructArray.from_arrays(columns, ["ids", "bytes"])
             fresh = names.filter(pa.array(new)).cast(pa.binary())
-            lists = pa.ListArray.from_arrays(offsets.astype(np.int32), rank[numbers.astype(np.int64)])
+            lists = pa.ListArray.from_arrays(offsets.astype(np.int32), rank[numbers])
             rows = pa.StructArray.from_arrays([batch.column(0), lists], ["doc_id", "words"])
             one = lambda a: pa.ListArray.from_arrays(np.array([0, len(a)], np.int32), a)
             yield pa.RecordBatch.from_arrays([one(rows), one(done), one(fresh)], ["docs", "done", "fresh"])
@@ -278,8 +296,8 @@ def _assembled(docs: DataFrame, path: str, of: Callable[[Column, Callable[[str],
 
     def rows(words: Column) -> Column:
         def one(doc: Column) -> Column:
-            joined = lambda name: F.array_join(F.transform(doc["words"], lambda n: F.get(words, n)[name]), "")
-            return of(doc, joined)
+            own = F.transform(doc["words"], lambda n: F.get(words, n))
+            return _let(own, lambda found: of(doc, lambda name: F.array_join(found[name], "")))
 
         return F.transform("docs", one)
 
