@@ -5,39 +5,17 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemart.session import scratch_dir
+from tidemart.session import freed_shuffles, scratch_dir
 
 #: Rows that a Python task turns into Python objects at once; long texts make a slice shorter.
 SLICE_ROWS, SLICE_BYTES = 8192, 12 << 20
 
 
-#: Spark's setting that deletes what a job has shuffled when the job ends.
-_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Jobs within leave no shuffle files behind; else these stay until the driver collects its garbage.
-
-    For jobs whose result is written or collected once, as many small ones together leave a file per task and exchange.
-    """
-    before = spark.conf.get(_FREE_SHUFFLES, None)
-    spark.conf.set(_FREE_SHUFFLES, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_FREE_SHUFFLES)
-        else:
-            spark.conf.set(_FREE_SHUFFLES, before)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` into the shared folder; sets a folder only where the session has none."""
     spark = df.sparkSession
